@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import chat, ledger
+from rulegrain.llm import bpe, chat, exact, ledger, lineblock, toxicity
 from rulegrain.llm.common import table
 
 
@@ -35,5 +36,29 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op9_chat_formatting)}
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe.decoded(bpe.encoded(docs, path).select("doc_id", "ids"), path)
+    return bpe.digests(tokens).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return lineblock.extracted(pages)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.remainder("doc_id", 3) == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    weights = toxicity.fitted(docs.join(labels, "doc_id"))
+    return toxicity.scored(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting)}
 ORACLE: dict[str, str] = {}
