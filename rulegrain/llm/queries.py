@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import bpe, chat, exact, ledger, lineblock, toxicity
+from rulegrain.llm import bpe, chat, exact, ledger, lineblock, raking, toxicity
 from rulegrain.llm.common import table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "cell_weight", "keep_p", "kept")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = ledger.judged(ledger.ledger(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -60,5 +64,30 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_rules, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting)}
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+OP3_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 2),
+gw AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM gw WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper FROM lines LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, ({" + ".join(f"CASE WHEN {r.failed} THEN {1 << r.bit} ELSE 0 END" for r in ledger.RULES)})::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {ledger.mask_of("v1")}) <> 0 AS base_failed,
+  (fail_bits & {ledger.mask_of("v1") | ledger.mask_of("v2")}) = 0 AS kept, fail_bits FROM f"""
+OP8_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n"""
+OP9_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)({chat.CONTROL})', '\1\\\2\3', 'g')) + length(role) + {len(chat.START) + len(chat.END) + 2} AS k FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(k)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
+ORACLE: dict[str, str] = {"op2_source_mixing": raking.oracle(), "op3_quality_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL}
