@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import bpe, chat, exact, ledger, lineblock, raking, toxicity
+from rulegrain.llm import bpe, chat, exact, ledger, lineblock, partenum, raking, toxicity
 from rulegrain.llm.common import table
 
 
@@ -64,7 +64,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_rules, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_groups(table(spark, sf_dir, "documents"), n=4, p=85, q=100)
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_rules, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join)}
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 OP3_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
