@@ -32,10 +32,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.llm.common import dropped, written
+from rulegrain.llm.common import written
 from rulegrain.llm.components import components
 
-SMALL_BUCKET = 32
+SMALL_BUCKET = 128
 PAIRS_A_TASK = 500
 BROADCAST_IDS = 500_000
 SEEDS = 4
@@ -137,8 +137,28 @@ def signatures(s, p: int, q: int, seed: int = 0):
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def sketch(s) -> bytes:
+    """Parities of a set over a power of two of cells, one for each shingle at least. Where two
+    sketches differ, the sets differ: in no fewer shingles than cells."""
+    import numpy as np
+
+    cells = max(64, 1 << (len(s) - 1).bit_length())
+    at = (mixed(s) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The cells in which two sketches differ, the larger folded to the smaller."""
+    import numpy as np
+
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    few = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, few), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def described(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (a key of the set, null without shingles), check (a second key)."""
+    """doc_id, n_shingles, node (a key of the set, null without shingles), check (a second key), sketch."""
 
     def run(batches: Iterator) -> Iterator:
         from hashlib import blake2b
@@ -150,9 +170,9 @@ def described(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text
             sets = [shingles(t, n, hashes) for t in batch.column("text").to_pylist()]
             keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             part = lambda a, b: pa.array([k and int.from_bytes(k[a:b], "little", signed=True) for k in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), part(0, 8), part(8, 16)], ["doc_id", "n_shingles", "node", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), part(0, 8), part(8, 16), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "node", "check", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sketch binary")
 
 
 def signed(texts: DataFrame, n: int, p: int, q: int, seed: int = 0) -> DataFrame:
@@ -224,15 +244,35 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, first long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents; ids are broadcast only where they are few."""
+    ids = written(ids, "near-need")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id")
+
+
+def _possible(pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b, sizes and sketches) less those whose sketches differ in more cells than similar sets do."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "size", "x_sketch", "y_sketch")), strict=True)
+            keep = [(a, b) for a, b, size, x, y in rows if apart(x, y) <= size * (q - p) // (q + p)]
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep, strict=True)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Of pairs (a, b) of doc_ids, those whose sets are similar.
 
     Texts travel once for each pair, and that of `a` once for each task's share
     of its pairs: an `a` with many pairs is split.
     """
-    need = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-need")
-    few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(need) if few else need, "doc_id")
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     share = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("shares"))
     dealt = pairs.join(share, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
     heads = dealt.select("a", "share").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "text")
@@ -268,18 +308,18 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, id_col: str = "
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     plain = written(described(docs, n), "near-sets")
-    classes = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), (F.min("check") != F.max("check")).alias("clash"))
+    classes = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("clash"))
     classes = written(classes, "near-classes")
     if classes.where("clash").limit(1).count():
         raise ValueError("two different sets have one 64-bit key")
-    names = classes.select("node", "rep", "size")
-    by = lambda c: names.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("size").alias(f"{c}_size"))
+    names = classes.select("node", "rep")
+    by = lambda c: classes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
 
     def candidates(keys: DataFrame) -> DataFrame:
-        """keys (x, y: nodes) to pairs (a, b) of doc_ids whose sizes can be similar."""
+        """keys (x, y: nodes) to pairs (a, b) of doc_ids that sizes and sketches don't rule out."""
         sized = keys.distinct().join(by("x"), "x").join(by("y"), "y")
         sized = sized.where(q * F.least("x_size", "y_size") >= p * F.greatest("x_size", "y_size"))
-        return sized.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+        return _possible(sized.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"), (F.col("x_size") + F.col("y_size")).alias("size"), "x_sketch", "y_sketch"), p, q)
 
     buckets = written(shared_buckets(signed(docs, n, p, q)), "near-buckets")
     tested = written(candidates(buckets.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))), "near-pairs")
@@ -288,7 +328,7 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, id_col: str = "
     for depth in range(1, MAX_DEPTH + 1):
         label = names.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
         members = buckets.select("sig", "node").join(label, "node")
-        open_ = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+        open_ = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2")
         rest = written(members.join(open_.select("sig", "members"), "sig"), "near-open")
         if not rest.limit(1).count():
             break
@@ -301,7 +341,7 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, id_col: str = "
         deeper = None
         if large.limit(1).count():
             again = large.select("node").distinct().join(names, "node").select(F.col("rep").alias("doc_id"))
-            more = signed(docs.join(again, "doc_id"), n, p, q, seed=depth)
+            more = signed(_texts(docs, again), n, p, q, seed=depth)
             inner = large.join(more.withColumnRenamed("sig", "sig2"), "node").select(F.xxhash64("sig", "sig2").alias("sig"), "node")
             deeper = written(shared_buckets(inner), "near-buckets")
             fresh = fresh.unionByName(candidates(deeper.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))))

@@ -68,6 +68,13 @@ def test_similar_sets_share_a_signature(p, q):
             assert np.intersect1d(partenum.signatures(a, p, q), partenum.signatures(b, p, q)).size, (len(a), len(b), both)
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (rng.choice(2000, int(rng.integers(1, 600)), replace=False).astype(np.uint64) for _ in range(2))
+        assert partenum.apart(partenum.sketch(np.sort(a)), partenum.sketch(np.sort(b))) <= len(np.setxor1d(a, b))
+
+
 def test_small_cases(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A  b"), (5, "a b c d e"), (6, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (9, " ".join(f"w{i}" for i in range(40))), (8, " ".join(f"w{i}" for i in range(41)))]
     df = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, node int, sig int")
