@@ -18,18 +18,22 @@ through, and those named like the added columns are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulegrain.llm.common import WHITE, written
 
-#: Topics by what a text holds, tried in order; the last is the rest. Ordinary
-#: patterns without look-around, so any SQL engine reads them alike.
+#: Topics by what a text holds, tried in order; the last is the rest: (name, strings of
+#: which it holds one, pattern it must match too). Plain string search comes first because
+#: it is many times cheaper than a pattern over every text.
 TOPICS = (
-    ("legal", r"(?i)license|licence|copyright"),
-    ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+"),
-    ("tabular", r" \| [^|\n]+ \| "),
-    ("numeric", r"[0-9]{3,}"),
+    ("legal", ("icense", "icence", "opyright", "ICENSE", "ICENCE", "OPYRIGHT"), None),
+    ("contact", ("@",), r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[A-Za-z]"),
+    ("tabular", (" | ",), None),
+    ("numeric", (), r"[0-9]{3}"),
 )
 REST = "prose"
 DIMENSIONS = ("source", "lang", "topic")
@@ -41,14 +45,17 @@ ADDED = ("topic", "n_tokens", "cell_weight", "keep_p", "kept")
 
 def topic(text: Column) -> Column:
     out = F.lit(REST)
-    for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+    for name, strings, pattern in reversed(TOPICS):
+        tests = [reduce(or_, [text.contains(x) for x in strings])] if strings else []
+        tests += [text.rlike(pattern)] if pattern else []
+        out = F.when(reduce(and_, tests), F.lit(name)).otherwise(out)
     return F.coalesce(out, F.lit(REST))
 
 
 def token_count(text: Column) -> Column:
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WHITE}|{WHITE}$", "")
-    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, WHITE))).cast("long")
+    """Words between ASCII white space: spaces left between them, and one."""
+    one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " "))
+    return F.when(one == "", 0).otherwise(F.octet_length(one) - F.octet_length(F.replace(one, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def uniform(id_col: Column) -> Column:
@@ -100,7 +107,8 @@ def mixed(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_
 
 def oracle(source: str = "documents", columns: str = "doc_id, source, lang, topic, n_tokens, cell_weight, keep_p, kept", budget: float = BUDGET, alpha: float = ALPHA, passes: int = PASSES) -> str:
     """The same in DuckDB SQL: one common table expression for each half step."""
-    cases = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TOPICS)
+    held = lambda strings, p: " AND ".join(["(" + " OR ".join(f"contains(text, '{x}')" for x in strings) + ")"] * bool(strings) + [f"regexp_matches(text, '{p}')"] * bool(p))
+    cases = " ".join(f"WHEN {held(strings, p)} THEN '{n}'" for n, strings, p in TOPICS)
     white = r"[\x20\x09-\x0D]+"
     inner = f"regexp_replace(coalesce(text, ''), '^{white}|{white}$', '', 'g')"
     steps = [
