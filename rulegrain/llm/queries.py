@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import bpe, chat, exact, ledger, lineblock, partenum, raking, toxicity
+from rulegrain.llm import bpe, brown, chat, exact, ledger, lineblock, partenum, raking, toxicity
 from rulegrain.llm.common import table
 
 
+def op1_class_ngram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, vocabulary = brown.trained(docs.where(brown.training("doc_id")))
+    out = brown.scored(docs, model, vocabulary)
+    return out.select("doc_id", (~brown.training("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "cell_weight", "keep_p", "kept")
 
@@ -68,7 +75,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_groups(table(spark, sf_dir, "documents"), n=4, p=85, q=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_rules, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_class_ngram_scoring, op2_source_mixing, op3_quality_rules, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join)}
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 OP3_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
