@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import bpe, brown, chat, exact, ledger, lineblock, partenum, raking, toxicity
+from rulegrain.llm import bpe, brown, chaining, chat, exact, ledger, lineblock, partenum, raking, toxicity
 from rulegrain.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,7 +79,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_groups(table(spark, sf_dir, "documents"), n=4, p=85, q=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_class_ngram_scoring, op2_source_mixing, op3_quality_rules, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_class_ngram_scoring, op2_source_mixing, op3_quality_rules, op4_substring_dedup, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join)}
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 OP3_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
