@@ -11,11 +11,12 @@ them have no empty choice, and where parts run out it signs again with another
 seed, so no link is lost.
 
 Equal sets share a key and sign as one. Sets that share a signature are first
-compared with the bucket's smallest only. Where a bucket still holds more than
-one component, its remaining pairs between components are compared if the
-bucket is small; in larger ones the sets sign again with another seed within
-the bucket, and only sets that agree twice stay together. So rows stay in
-proportion to members and every link between different texts counts.
+compared with the bucket's smallest only, and the links found make components.
+Buckets that still hold more than one component are looked at again: within a
+task, sketches of the members are compared across components in blocks, and
+only pairs that the sketches allow become rows and are compared. Very large
+buckets are dealt out by blocks. So rows follow members, not pairs, and every
+link between different texts counts.
 
 Shingles and sets are told apart by 64-bit and 128-bit hashes.
 
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 from rulegrain.llm.common import written
 from rulegrain.llm.components import components
 
-SMALL_BUCKET = 128
+BLOCK = 2_000  # members whose sketches are compared at once
+TASK_MEMBERS = 50_000
 PAIRS_A_TASK = 500
 BROADCAST_IDS = 500_000
 SEEDS = 4
-MAX_DEPTH = 6
 
 
 class WordHashes(dict):
@@ -138,11 +139,11 @@ def signatures(s, p: int, q: int, seed: int = 0):
 
 
 def sketch(s) -> bytes:
-    """Parities of a set over a power of two of cells, one for each shingle at least. Where two
+    """Parities of a set over a power of two of cells, two for each shingle at least. Where two
     sketches differ, the sets differ: in no fewer shingles than cells."""
     import numpy as np
 
-    cells = max(64, 1 << (len(s) - 1).bit_length())
+    cells = max(64, 2 << (len(s) - 1).bit_length())
     at = (mixed(s) & np.uint64(cells - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=cells) & 1, bitorder="little").tobytes()
 
@@ -266,6 +267,64 @@ def _possible(pairs: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _crossing(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """Members of open buckets (sig, part, component, rep, size, sketch) to pairs (a, b) of
+    different components that sizes and sketches allow. A part is a bucket or a block of one."""
+
+    def allowed(x, y):
+        """The places in blocks x and y of the pairs that may be similar."""
+        import numpy as np
+
+        (ca, na, ka), (cb, nb, kb) = x, y
+        few = min(ka.shape[1], kb.shape[1])
+        ka, kb = (np.bitwise_xor.reduce(k.reshape(len(k), -1, few), axis=1) for k in (ka, kb))
+        near = (ca[:, None] != cb[None, :]) & (q * np.minimum(na[:, None], nb[None, :]) >= p * np.maximum(na[:, None], nb[None, :]))
+        i, j = np.nonzero(near)
+        if not len(i):
+            return i, j
+        out = []
+        for s in range(0, len(i), 100_000):
+            ii, jj = i[s : s + 100_000], j[s : s + 100_000]
+            differ = np.bitwise_count(ka[ii] ^ kb[jj]).sum(axis=1, dtype=np.int64)
+            ok = differ <= (na[ii] + nb[jj]) * (q - p) // (q + p)
+            out.append((ii[ok], jj[ok]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def compare(group: list) -> pa.RecordBatch | None:
+            """group: rows of one part; those with sketches of one length form blocks."""
+            by: dict[int, list] = {}
+            for r in group:
+                by.setdefault(len(r[4]), []).append(r)
+            blocks = []
+            for rows in by.values():
+                for s in range(0, len(rows), BLOCK):
+                    _, c, rep, n, k = zip(*rows[s : s + BLOCK], strict=True)
+                    blocks.append((np.array(rep), (np.array(c), np.array(n), np.frombuffer(b"".join(k), np.uint8).reshape(len(k), -1))))
+            pairs = set()
+            for s, (reps, x) in enumerate(blocks):
+                for others, y in blocks[s:]:
+                    i, j = allowed(x, y)
+                    pairs.update(zip(np.minimum(reps[i], others[j]).tolist(), np.maximum(reps[i], others[j]).tolist(), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"]) if pairs else None
+
+        group: list = []
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("part", "component", "rep", "size", "sketch")), strict=True):
+                if group and group[0][0] != r[0]:
+                    if (out := compare(group)) is not None:
+                        yield out
+                    group = []
+                group.append(r)
+        if group and (out := compare(group)) is not None:
+            yield out
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Of pairs (a, b) of doc_ids, those whose sets are similar.
 
@@ -325,34 +384,19 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, id_col: str = "
     tested = written(candidates(buckets.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))), "near-pairs")
     links = written(_verified(tested, docs, n, p, q), "near-links")
     labels = written(components(links), "near-components")
-    for depth in range(1, MAX_DEPTH + 1):
-        label = names.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-        members = buckets.select("sig", "node").join(label, "node")
-        open_ = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2")
-        rest = written(members.join(open_.select("sig", "members"), "sig"), "near-open")
-        if not rest.limit(1).count():
-            break
-        size = SMALL_BUCKET if depth < MAX_DEPTH else 1 << 60
-        small = rest.where(F.col("members") <= size)
-        left = small.select("sig", F.col("node").alias("x"), F.col("component").alias("cx"))
-        right = small.select("sig", F.col("node").alias("y"), F.col("component").alias("cy"))
-        fresh = candidates(left.join(right, "sig").where("cx < cy").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-        large = rest.where(F.col("members") > size).select("sig", "node")
-        deeper = None
-        if large.limit(1).count():
-            again = large.select("node").distinct().join(names, "node").select(F.col("rep").alias("doc_id"))
-            more = signed(_texts(docs, again), n, p, q, seed=depth)
-            inner = large.join(more.withColumnRenamed("sig", "sig2"), "node").select(F.xxhash64("sig", "sig2").alias("sig"), "node")
-            deeper = written(shared_buckets(inner), "near-buckets")
-            fresh = fresh.unionByName(candidates(deeper.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))))
-        canon = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = written(canon(fresh).distinct().join(canon(tested), ["a", "b"], "left_anti"), "near-pairs")
-        if fresh.limit(1).count():
-            links = links.unionByName(written(_verified(fresh, docs, n, p, q), "near-links"))
-            labels = written(components(links), "near-components")
-        if deeper is None:
-            break
-        tested, buckets = canon(tested).unionByName(fresh), deeper
+    # buckets of several components: all their other pairs between components
+    label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    members = buckets.select("sig", "node").join(label, "node")
+    mixed_ = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2")
+    rest = members.join(mixed_.select("sig", F.ceil(F.col("members") / TASK_MEMBERS).alias("blocks")), "sig").join(classes.select("node", "size", "sketch"), "node")
+    # a member of a bucket of several blocks goes to each part that pairs its block with another
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64("sig", F.least(k, block), F.greatest(k, block)))
+    rest = rest.select(F.explode(parts).alias("part"), "component", "rep", "size", "sketch")
+    canon = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = written(_crossing(rest, p, q).join(canon(tested), ["a", "b"], "left_anti"), "near-pairs")
+    if fresh.limit(1).count():
+        labels = written(components(links.unionByName(_verified(fresh, docs, n, p, q))), "near-components")
     sets = plain.join(names.select("node", "rep"), "node", "left").select("doc_id", "n_shingles", "node", "rep")
     return sets, labels
 
