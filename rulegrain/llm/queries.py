@@ -67,7 +67,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = toxicity.remainder("doc_id", 3) == 1
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    weights = toxicity.fitted(docs.join(labels, "doc_id"))
+    weights = toxicity.fitted(docs, labels)
     return toxicity.scored(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

@@ -87,15 +87,20 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def sample(labelled: DataFrame, id_col: str, max_rows: int) -> DataFrame:
+def sample(labels: DataFrame, id_col: str, max_rows: int) -> DataFrame:
     """The max_rows rows lowest in a hash of their id; each task keeps its lowest only."""
-    return labelled.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    return labels.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
 
 
-def fitted(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> dict[int, float]:
-    """Sparse weights by coordinate. The sample is learnt by one task, in hash order, EPOCHS times."""
-    rows = sample(labelled.where(F.col(label).isNotNull()), id_col, max_rows)
-    rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label")).coalesce(1)
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> dict[int, float]:
+    """Sparse weights by coordinate. The sample is learnt by one task, in order of ids, EPOCHS times.
+
+    The sampled labels are broadcast (max_rows of them), so texts without a
+    sampled label are never shuffled.
+    """
+    chosen = sample(labels.where(F.col(label).isNotNull()).select(id_col, F.col(label).cast("double").alias("label")), id_col, max_rows)
+    rows = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
+    rows = rows.repartition(1).sortWithinPartitions(id_col).select("text", "label")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

@@ -15,7 +15,7 @@ def test_held_out_accuracy(spark):
 def test_weights_are_sparse_and_nulls_score(spark):
     rows = [(i, ("you idiot" if i % 2 else "hello there") if i else None, i % 2) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    weights = toxicity.fitted(df)
+    weights = toxicity.fitted(df.drop("toxic"), df)
     assert 0 < len(weights) < 20
     score = {r.doc_id: r.score for r in toxicity.scored(df, weights).collect()}
     assert len(score) == 200 and score[1] > 0.7 > score[2] and 0 <= score[0] <= 1
@@ -23,6 +23,6 @@ def test_weights_are_sparse_and_nulls_score(spark):
 
 def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    assert toxicity.fitted(df) == {} and toxicity.scored(df, {}).count() == 0
+    assert toxicity.fitted(df, df) == {} and toxicity.scored(df, {}).count() == 0
     one = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert toxicity.scored(one, {}).first().score == 0.5
