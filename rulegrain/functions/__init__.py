@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,10 +89,11 @@ def missing_if_falsy(value: Column, falsy) -> Column:
 
 def merged(first: Column, *later: Column) -> Column:
     """Maps merged; a later map's value wins."""
-    out = first
-    for m in later:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
-    return out
+
+    def two(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+    return reduce(two, later, first)
 
 
 def message(template: str, *values: Column) -> Column:
