@@ -152,6 +152,6 @@ def documented(spark: SparkSession, path: str) -> DataFrame:
 
     The number is read, never the label.
     """
-    pages = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_name").alias("page"))
+    pages = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("page"))
     name = F.regexp_extract("value", r"^#*\s*(\S[^\n]*?)\s*(?:\[.*)?\n", 1)
     return pages.select("page", name.alias("rule"), F.regexp_extract("value", r"(?m)^\W*[A-Z][a-z]+ \(([1-5])\)\s*$", 1).try_cast("int").alias("severity"))

@@ -45,7 +45,7 @@ def resolve(workspace: list[str] | None, target: list[str] | None, scan: bool) -
 
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, ext, content of all files under the paths; Spark lists and reads them."""
-    read = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(paths)
+    read = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
     file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     return read.select(file.alias("file"), F.col("value").alias("content")).withColumn("ext", extension(F.col("file"))).select("file", "ext", "content").distinct()
 
