@@ -43,14 +43,12 @@ BROADCAST_IDS = 500_000
 SEEDS = 4
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from hashlib import blake2b
+def hashed_words(text: str | None):
+    """The hashes (uint64) of a text's words, in order."""
+    import numpy as np
+    from xxhash import xxh3_64_digest
 
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return h
+    return np.frombuffer(b"".join(map(xxh3_64_digest, (text or "").encode().lower().split())), np.uint64)
 
 
 def mixed(x):
@@ -61,18 +59,21 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int, hashes: WordHashes):
+def shingles(text: str | None, n: int):
     """The sorted distinct hashes of a text's n-word shingles (uint64)."""
     import numpy as np
 
-    w = np.fromiter(map(hashes.__getitem__, (text or "").encode().lower().split()), np.uint64)
+    w = hashed_words(text)
     if not len(w):
         return w
     size = min(n, len(w))
     out = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k])
-    return np.unique(out)
+    out.sort()
+    first = np.ones(len(out), bool)
+    first[1:] = out[1:] != out[:-1]
+    return out[first]
 
 
 @lru_cache(maxsize=None)
@@ -115,12 +116,10 @@ def signatures(s, p: int, q: int, seed: int = 0):
             salt = np.array([(seed * SEEDS + again) << 32 | band], np.uint64)
             g = mixed(s ^ mixed(salt + np.uint64(1)))
             cell = ((g >> np.uint64(33)) % np.uint64(parts * n2)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            cells, starts = np.unique(cell[order], return_index=True)
             sums = np.zeros(parts * n2, np.uint64)
-            sums[cells] = np.add.reduceat(mixed(g)[order], starts)
+            np.add.at(sums, cell, mixed(g))
             filled = np.zeros(parts * n2, bool)
-            filled[cells] = True
+            filled[cell] = True
             sums, filled = mixed(sums + np.arange(parts * n2, dtype=np.uint64)).reshape(parts, n2), filled.reshape(parts, n2)
             # each choice of n2 - k2 sub-parts leaves k2 (none or one) out
             left = range(n2) if k2 else (None,)
@@ -166,9 +165,8 @@ def described(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text
 
         import pyarrow as pa
 
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t, n, hashes) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
             keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             part = lambda a, b: pa.array([k and int.from_bytes(k[a:b], "little", signed=True) for k in keys], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), part(0, 8), part(8, 16), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "node", "check", "sketch"])
@@ -185,11 +183,11 @@ def signed(texts: DataFrame, n: int, p: int, q: int, seed: int = 0) -> DataFrame
         import numpy as np
         import pyarrow as pa
 
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
             sigs, nodes = [], []
             for t in batch.column("text").to_pylist():
-                s = shingles(t, n, hashes)
+                s = shingles(t, n)
                 node = int.from_bytes(blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
                 if not len(s) or node in seen:
                     continue
@@ -341,11 +339,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> Data
         import numpy as np
         import pyarrow as pa
 
-        hashes, head = WordHashes(), None
+        head = None
         for batch in batches:
             found = []
             for a, b, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
-                s = shingles(t, n, hashes)
+                s = shingles(t, n)
                 if b is None:
                     head = s
                     continue
