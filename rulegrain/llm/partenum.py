@@ -14,9 +14,11 @@ Equal sets share a key and sign as one. Sets that share a signature are first
 compared with the bucket's smallest only, and the links found make components.
 Buckets that still hold more than one component are looked at again: within a
 task, sketches of the members are compared across components in blocks, and
-only pairs that the sketches allow become rows and are compared. Very large
-buckets are dealt out by blocks. So rows follow members, not pairs, and every
-link between different texts counts.
+each member asks for the nearest pairs that the sketches allow. Those are
+compared and their links join components, until no member has asked for less
+than all its pairs with other components. Very large buckets are dealt out by
+blocks. So rows follow members, not pairs, and every link between different
+texts counts.
 
 Shingles and sets are told apart by 64-bit and 128-bit hashes.
 
@@ -41,6 +43,7 @@ TASK_MEMBERS = 50_000
 PAIRS_A_TASK = 500
 BROADCAST_IDS = 500_000
 SEEDS = 4
+FIRST_ASKED, ASKED_GROWTH = 2, 16  # pairs that a member of an open bucket asks for, and their growth each round
 
 
 def hashed_words(text: str | None):
@@ -121,11 +124,11 @@ def signatures(s, p: int, q: int, seed: int = 0):
             filled = np.zeros(parts * n2, bool)
             filled[cell] = True
             sums, filled = mixed(sums + np.arange(parts * n2, dtype=np.uint64)).reshape(parts, n2), filled.reshape(parts, n2)
-            # each choice of n2 - k2 sub-parts leaves k2 (none or one) out
-            left = range(n2) if k2 else (None,)
-            pick = [[c for c in range(n2) if c != x] for x in left]
-            some = np.stack([filled[:, c].any(axis=1) for c in pick], axis=1)
-            sig = np.stack([mixed(sums[:, c].sum(axis=1, dtype=np.uint64) ^ mixed(salt + np.uint64(7 + k))) for k, c in enumerate(pick)], axis=1)
+            if k2:  # each choice of n2 - 1 sub-parts leaves one out
+                sums, some = sums.sum(axis=1, dtype=np.uint64, keepdims=True) - sums, filled.sum(axis=1, keepdims=True) > filled
+            else:
+                some = filled
+            sig = mixed(sums ^ mixed(salt + np.arange(7, 7 + n2, dtype=np.uint64)))
             full = np.cumsum(some.all(axis=1))
             last = int(np.searchsorted(full, need)) + 1
             some[last:] = False
@@ -265,12 +268,16 @@ def _possible(pairs: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _crossing(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """Members of open buckets (sig, part, component, rep, size, sketch) to pairs (a, b) of
-    different components that sizes and sketches allow. A part is a bucket or a block of one."""
+def _crossing(rows: DataFrame, p: int, q: int, most: int) -> DataFrame:
+    """Members of open buckets (part, component, rep, size, sketch) to pairs (a, b) of different
+    components that sizes and sketches allow. A part is a bucket or a block of one.
 
-    def allowed(x, y):
-        """The places in blocks x and y of the pairs that may be similar."""
+    A member asks for its `most` nearest pairs in each block, by sketches; `cut`
+    says that it has more.
+    """
+
+    def asked(x, y):
+        """The places in blocks x and y of the pairs asked for, and whether a member has more."""
         import numpy as np
 
         (ca, na, ka), (cb, nb, kb) = x, y
@@ -278,15 +285,19 @@ def _crossing(rows: DataFrame, p: int, q: int) -> DataFrame:
         ka, kb = (np.bitwise_xor.reduce(k.reshape(len(k), -1, few), axis=1) for k in (ka, kb))
         near = (ca[:, None] != cb[None, :]) & (q * np.minimum(na[:, None], nb[None, :]) >= p * np.maximum(na[:, None], nb[None, :]))
         i, j = np.nonzero(near)
-        if not len(i):
-            return i, j
-        out = []
+        out = [(i[:0], j[:0], i[:0])]
         for s in range(0, len(i), 100_000):
             ii, jj = i[s : s + 100_000], j[s : s + 100_000]
             differ = np.bitwise_count(ka[ii] ^ kb[jj]).sum(axis=1, dtype=np.int64)
             ok = differ <= (na[ii] + nb[jj]) * (q - p) // (q + p)
-            out.append((ii[ok], jj[ok]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            out.append((ii[ok], jj[ok], differ[ok]))
+        i, j, differ = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((j, differ, i))
+        i, j = i[order], j[order]
+        begins = np.ones(len(i), bool)
+        begins[1:] = i[1:] != i[:-1]
+        place = np.arange(len(i)) - np.maximum.accumulate(np.where(begins, np.arange(len(i)), 0))
+        return i[place < most], j[place < most], bool((place >= most).any())
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -302,12 +313,13 @@ def _crossing(rows: DataFrame, p: int, q: int) -> DataFrame:
                 for s in range(0, len(rows), BLOCK):
                     _, c, rep, n, k = zip(*rows[s : s + BLOCK], strict=True)
                     blocks.append((np.array(rep), (np.array(c), np.array(n), np.frombuffer(b"".join(k), np.uint8).reshape(len(k), -1))))
-            pairs = set()
+            pairs, cut = set(), False
             for s, (reps, x) in enumerate(blocks):
                 for others, y in blocks[s:]:
-                    i, j = allowed(x, y)
+                    i, j, more = asked(x, y)
+                    cut |= more
                     pairs.update(zip(np.minimum(reps[i], others[j]).tolist(), np.maximum(reps[i], others[j]).tolist(), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"]) if pairs else None
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)), pa.array([cut] * len(pairs))], ["a", "b", "cut"]) if pairs else None
 
         group: list = []
         for batch in batches:
@@ -320,7 +332,8 @@ def _crossing(rows: DataFrame, p: int, q: int) -> DataFrame:
         if group and (out := compare(group)) is not None:
             yield out
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long").distinct()
+    found = rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long, cut boolean")
+    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
@@ -357,6 +370,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> Data
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _open_members(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(part, component, rep, size, sketch): the members of buckets that hold several components.
+
+    A member of a bucket of several blocks goes to each part that pairs its block with another.
+    """
+    label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    members = buckets.select("sig", "node").join(label, "node")
+    several = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2")
+    rest = members.join(several.select("sig", F.ceil(F.col("members") / TASK_MEMBERS).alias("blocks")), "sig").join(classes.select("node", "size", "sketch"), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64("sig", F.least(k, block), F.greatest(k, block)))
+    return rest.select(F.explode(parts).alias("part"), "component", "rep", "size", "sketch")
+
+
 def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, components): sets has doc_id, n_shingles, node and rep (the smallest doc_id with
     that set); components has node (a rep) and component, for sets linked with another.
@@ -382,19 +409,20 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, id_col: str = "
     tested = written(candidates(buckets.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))), "near-pairs")
     links = written(_verified(tested, docs, n, p, q), "near-links")
     labels = written(components(links), "near-components")
-    # buckets of several components: all their other pairs between components
-    label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-    members = buckets.select("sig", "node").join(label, "node")
-    mixed_ = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2")
-    rest = members.join(mixed_.select("sig", F.ceil(F.col("members") / TASK_MEMBERS).alias("blocks")), "sig").join(classes.select("node", "size", "sketch"), "node")
-    # a member of a bucket of several blocks goes to each part that pairs its block with another
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64("sig", F.least(k, block), F.greatest(k, block)))
-    rest = rest.select(F.explode(parts).alias("part"), "component", "rep", "size", "sketch")
+    # buckets of several components: their other pairs between components, nearest first, until none is left
     canon = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = written(_crossing(rest, p, q).join(canon(tested), ["a", "b"], "left_anti"), "near-pairs")
-    if fresh.limit(1).count():
-        labels = written(components(links.unionByName(_verified(fresh, docs, n, p, q))), "near-components")
+    tested, most = canon(tested), FIRST_ASKED
+    while True:
+        asked = written(_crossing(_open_members(buckets, classes, labels), p, q, most), "near-pairs")
+        cut = asked.where("cut").limit(1).count() > 0
+        fresh = written(asked.select("a", "b").join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if fresh.limit(1).count():
+            links = links.unionByName(written(_verified(fresh, docs, n, p, q), "near-links"))
+            labels = written(components(links), "near-components")
+            tested = tested.unionByName(fresh)
+        if not cut:
+            break
+        most *= ASKED_GROWTH
     sets = plain.join(names.select("node", "rep"), "node", "left").select("doc_id", "n_shingles", "node", "rep")
     return sets, labels
 

@@ -93,6 +93,8 @@ def test_open_buckets_are_resolved(spark, monkeypatch):
     """With buckets that hold unlike sets, small and large ones still lose no link."""
     monkeypatch.setattr(partenum, "BLOCK", 3)
     monkeypatch.setattr(partenum, "TASK_MEMBERS", 10)
+    monkeypatch.setattr(partenum, "FIRST_ASKED", 1)
+    monkeypatch.setattr(partenum, "ASKED_GROWTH", 4)
     plain = partenum.signatures
     monkeypatch.setattr(partenum, "signatures", lambda s, p, q, seed=0: np.append(plain(s, p, q, seed), len(s) // 40) if seed == 0 else plain(s, p, q, seed))
     rows = variants(9, 40)
