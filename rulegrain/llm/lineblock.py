@@ -6,7 +6,10 @@ menus, headers, footers, sidebars, notices, adverts, forms and comment sections
 Text lengths are summed over sliding windows of lines; the page's text surges
 where a window rises over the threshold and dives where it falls to nothing.
 Between a surge and its dive all lines that weigh something are kept, short
-ones at either end included, up to the next line that weighs nothing.
+ones at either end included, up to the next line that weighs nothing. A kept
+line carries the other lines of its container (the innermost article or main,
+else the innermost div, section or cell, else the page) that aren't furniture,
+however short; lines that are mostly links too, but for those of the page itself.
 
 Defined results: null or empty html has an empty text; repeated rows are
 extracted each; an empty table gives no rows; other columns pass through, and
@@ -33,6 +36,7 @@ TOKEN = re.compile(
 )
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CONTAINERS = frozenset("div section td th".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words in class or id names of page furniture.
@@ -59,10 +63,11 @@ def _is_furniture(tag: str, attrs: str, inside_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, characters of it in links, and whether it is page furniture."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open block elements; true for furniture
+def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+    """The page's lines: text, characters of it in links, whether it is page furniture, and its container (0 for the page)."""
+    out: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # open block elements; true for furniture; the container
+    containers = 0
     text: list[str] = []
     outside = links = articles = place = 0
     linked: list[str] = []
@@ -71,7 +76,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                out.append((line, len(" ".join(unescape("".join(linked)).split())), outside > 0))
+                out.append((line, len(" ".join(unescape("".join(linked)).split())), outside > 0, stack[-1][2] if stack else 0))
             text.clear()
             linked.clear()
 
@@ -95,9 +100,9 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             end_line()
             if m["close"]:
                 links = 0
-                if any(t == tag for t, _ in stack):
+                if any(t == tag for t, _, _ in stack):
                     while True:
-                        t, was = stack.pop()
+                        t, was, _ = stack.pop()
                         outside -= was
                         articles -= t in ("article", "main")
                         if t == tag:
@@ -106,7 +111,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
                     outside -= stack.pop()[1]
                 bad = _is_furniture(tag, m["attrs"], articles > 0)
-                stack.append((tag, bad))
+                within = stack[-1][2] if stack else 0
+                if tag in ("article", "main") or tag in CONTAINERS and not articles:
+                    within = containers = containers + 1
+                stack.append((tag, bad, within))
                 outside += bad
                 articles += tag in ("article", "main")
     add(html[place:])
@@ -116,7 +124,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
 
 def main_text(html: str) -> str:
     lines = lines_of(html)
-    weight = [0 if bad or 2 * link > len(t) else len(t) for t, link, bad in lines]
+    weight = [0 if bad or 2 * link > len(t) else len(t) for t, link, bad, _ in lines]
     if not any(weight):
         return ""
     n = len(weight)
@@ -137,7 +145,8 @@ def main_text(html: str) -> str:
             dive += 1
         keep[first:dive] = [True] * (dive - first)
         i = dive
-    return "\n\n".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k)
+    held = {c for (*_, c), k in zip(lines, keep, strict=True) if k}
+    return "\n\n".join(t for (t, _, bad, c), w, k in zip(lines, weight, keep, strict=True) if k or not bad and c in held and (w or c))
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -39,3 +39,11 @@ def test_nulls_clashes_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", None, "old"), (1, "u", "<p>x</p>", "old")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in lineblock.extracted(df).collect()) == [("", 0), ("x", 1)]
     assert lineblock.extracted(df.limit(0)).count() == 0
+
+
+def test_short_and_linked_lines_of_the_article_are_kept():
+    long = LONG * 4
+    for tag in ("article", "main", "div"):
+        page = f'<body><div>Tagline</div><nav><p>A</p><p>B</p><p>C</p></nav><{tag}><p>{long}</p><div class="ad">Buy</div><p>Es be.</p><ul><li><a href="/s">Source</a></li></ul><p>End.</p></{tag}><div><a href="/x">More</a></div><footer>F</footer>'
+        assert lineblock.main_text(page) == f"{long}\n\nEs be.\n\nSource\n\nEnd."
+    assert lineblock.main_text(f'<p>{long}</p><div class="ad">Buy</div><p>Es be.</p><footer>F</footer>') == f"{long}\n\nEs be."
