@@ -2,7 +2,8 @@
 
 The markup is stripped into lines: the text of each block element. Lines in
 menus, headers, footers, sidebars, notices, adverts, forms and comment sections
-(by element, role, class or id) and lines that are mostly links weigh nothing.
+(by element, role, class or id; a block that holds an article or most of the
+page's unlinked text is none) and lines that are mostly links weigh nothing.
 Text lengths are summed over sliding windows of lines; the page's text surges
 where a window rises over the threshold and dives where it falls to nothing.
 Between a surge and its dive all lines that weigh something are kept, short
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 WINDOW = 3
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|select|textarea|button|canvas|audio|video|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(?P<raw>title|script|style|noscript|template|svg|math|iframe|object|select|textarea|button|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -46,37 +48,51 @@ FURNITURE = re.compile(
     r"|comments?|comment-?(?:list|section|form)|disqus|replies|respond|discussion|tags?|tag-?cloud)(?=$|[\s_-])",
     re.I,
 )
+#: Class names that say what a block has beside it, and marks that hold also where the block is most of the page.
+BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|show|hide)-\S+", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|ads?|adverts?|advertisement)(?=$|[\s_-])", re.I)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
-def _is_furniture(tag: str, attrs: str, inside_article: bool) -> bool:
+def _is_furniture(tag: str, attrs: str, inside_article: bool) -> int:
+    """1 for furniture unless the block holds an article or most of the text, 2 unless it holds an article, 3 at any rate."""
+    if tag == "form":
+        return 1
     if tag in OUTSIDE or tag == "header" and not inside_article:
-        return True
+        return 2
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    mark = 0
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and FURNITURE.search(value) or name == "role" and value.lower() in ROLES:
-            return True
+        if name in ("class", "id") and tag != "h1" and FURNITURE.search(BESIDE.sub(" ", value)):
+            mark = max(mark, 2 if COMMENTS.search(value) else 1)
+        if name == "role" and value.lower() in ROLES:
+            mark = max(mark, 2)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return 3
+    return mark
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
     """The page's lines: text, characters of it in links, whether it is page furniture, and its container (0 for the page)."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # open block elements; true for furniture; the container
-    containers = 0
+    out: list[tuple[str, int, int, int]] = []  # with the innermost mark in place of furniture
+    stack: list[tuple[str, int, int]] = []  # open block elements; the innermost mark; the container
+    marks: list[list[int]] = [[0, 0, 0, 0]]  # blocks that look like furniture: mark around, kind, unlinked text, articles
+    containers = whole = 0
     text: list[str] = []
-    outside = links = articles = place = 0
+    links = articles = place = 0
     linked: list[str] = []
 
     def end_line() -> None:
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                out.append((line, len(" ".join(unescape("".join(linked)).split())), outside > 0, stack[-1][2] if stack else 0))
+                nonlocal whole
+                link, mark = len(" ".join(unescape("".join(linked)).split())), stack[-1][1] if stack else 0
+                out.append((line, link, mark, stack[-1][2] if stack else 0))
+                whole += len(line) - link
+                marks[mark][2] += len(line) - link
             text.clear()
             linked.clear()
 
@@ -102,24 +118,32 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
                 links = 0
                 if any(t == tag for t, _, _ in stack):
                     while True:
-                        t, was, _ = stack.pop()
-                        outside -= was
+                        t = stack.pop()[0]
                         articles -= t in ("article", "main")
                         if t == tag:
                             break
             elif tag not in VOID and not m["attrs"].endswith("/"):
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                    outside -= stack.pop()[1]
-                bad = _is_furniture(tag, m["attrs"], articles > 0)
-                within = stack[-1][2] if stack else 0
+                    stack.pop()
+                kind = _is_furniture(tag, m["attrs"], articles > 0)
+                mark, within = stack[-1][1:] if stack else (0, 0)
+                marks[mark][3] += tag in ("article", "main")
+                if kind:
+                    marks.append([mark, kind, 0, 0])
+                    mark = len(marks) - 1
                 if tag in ("article", "main") or tag in CONTAINERS and not articles:
                     within = containers = containers + 1
-                stack.append((tag, bad, within))
-                outside += bad
+                stack.append((tag, mark, within))
                 articles += tag in ("article", "main")
     add(html[place:])
     end_line()
-    return out
+    for around, _, unlinked, held in marks[:0:-1]:  # inner ones come after outer ones
+        marks[around][2] += unlinked
+        marks[around][3] += held
+    bad = [False]
+    for around, kind, unlinked, held in marks[1:]:
+        bad.append(bad[around] or kind == 3 or not held and (kind == 2 or 2 * unlinked <= whole))
+    return [(line, link, bad[mark], c) for line, link, mark, c in out]
 
 
 def main_text(html: str) -> str:

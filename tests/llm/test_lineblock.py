@@ -47,3 +47,12 @@ def test_short_and_linked_lines_of_the_article_are_kept():
         page = f'<body><div>Tagline</div><nav><p>A</p><p>B</p><p>C</p></nav><{tag}><p>{long}</p><div class="ad">Buy</div><p>Es be.</p><ul><li><a href="/s">Source</a></li></ul><p>End.</p></{tag}><div><a href="/x">More</a></div><footer>F</footer>'
         assert lineblock.main_text(page) == f"{long}\n\nEs be.\n\nSource\n\nEnd."
     assert lineblock.main_text(f'<p>{long}</p><div class="ad">Buy</div><p>Es be.</p><footer>F</footer>') == f"{long}\n\nEs be."
+
+
+def test_articles_in_blocks_named_for_furniture_are_kept():
+    for open_, close in (('<div class="layout has-sidebar"><article>', "</article></div>"), ('<div class="with-nav">', "</div>"), ('<section id="discussion">', "</section>"), ('<div class="post legal">', "</div>"), ('<form class="search"><main>', "</main></form>")):
+        page = f'<body><nav><a href="/">Home</a></nav>{open_}<h1 class="page-header">Title</h1><p>{LONG}</p><div class="sidebar"><p>Side.</p></div>{close}<footer>F</footer>'
+        assert lineblock.main_text(page) == f"Title\n\n{LONG}", open_
+    assert lineblock.main_text(f'<article><p>{LONG}</p></article><div class="comments"><p>{LONG * 3}</p></div>') == LONG
+    assert lineblock.main_text(f"<html><head><title>T</title><body><p>{LONG}</p>") == LONG
+    assert lineblock.main_text(f'<p>{LONG}</p><svg width="1"/><p>b</p><math/><p>c</p><svg><text>x</text></svg>') == f"{LONG}\n\nb\n\nc"
