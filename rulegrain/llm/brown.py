@@ -9,7 +9,8 @@ Training, each step over all training texts:
    counts taken out first; a round that lowered it is undone. The counts are bounded (words x classes), so are the classes.
 3. Every other word goes to the class that fits its neighbours' classes best:
    one exchange step against the fixed classes.
-4. Transition counts between classes and discounted emission counts make
+4. Transitions between classes are counted again over all words, contexts as in
+   scoring. These counts and discounted emission counts make
    p(word | class of the last common word before it)
      = (1 - MIX) * p(class | class before) * p(word | class) + MIX * p_base(word).
    The discounts of a class are its probability of an unknown word, which is
@@ -249,8 +250,7 @@ def clustered(texts: DataFrame, head: dict[bytes, int], rounds: int = ROUNDS):
 
 
 def placed(texts: DataFrame, head: dict[bytes, int], classes, m) -> DataFrame:
-    """(word, n, class) of all other words, with their transitions as rows without a word:
-    n pairs of classes, class = before * WIDTH + after."""
+    """(word, n, class) of all other words."""
     import numpy as np
 
     shared = texts.sparkSession.sparkContext.broadcast((head, classes, m))
@@ -281,14 +281,12 @@ def placed(texts: DataFrame, head: dict[bytes, int], classes, m) -> DataFrame:
         into = np.log(soft[:, :CLASSES] / soft[:, :CLASSES].sum(0))  # given the class, the one before
         outof = np.log(soft[:CLASSES] / soft[:CLASSES].sum(1, keepdims=True)).T
         into[TAIL] = outof[TAIL] = 0  # a neighbour of the tail says nothing
-        moves = np.zeros((WIDTH, WIDTH), np.int64)
         held: list = []  # the rows of the last word, which may go on
 
         def settle(words, pairs, n):
             starts = np.flatnonzero(np.concatenate([[True], [a != b for a, b in zip(words[1:], words[:-1], strict=True)]]))
             fit = np.add.reduceat((into[pairs // WIDTH] + outof[pairs % WIDTH]) * n[:, None], starts)
             best, many = fit.argmax(1), np.add.reduceat(n, starts)
-            np.add.at(moves, (pairs // WIDTH, np.repeat(best, np.diff(np.append(starts, len(pairs))))), n)
             return pa.RecordBatch.from_arrays([pa.array([words[s] for s in starts], pa.binary()), pa.array(many, pa.int64()), pa.array(best.astype(np.int32))], ["word", "n", "class"])
 
         for batch in batches:
@@ -303,13 +301,54 @@ def placed(texts: DataFrame, head: dict[bytes, int], classes, m) -> DataFrame:
         if held:
             w, p, n = zip(*held, strict=True)
             yield settle(w, np.array(p), np.array(n))
-        a, b = np.nonzero(moves)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.binary()), pa.array(moves[a, b]), pa.array((a * WIDTH + b).astype(np.int32))], ["word", "n", "class"])
 
     rows = texts.mapInArrow(gather, "word binary, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n")).select("word", "pair", "n")
     return written(rows.repartition("word").sortWithinPartitions("word").mapInArrow(decide, "word binary, n long, class int"), "brown-placed")
 
 
+def followed(texts: DataFrame, vocabulary: DataFrame):
+    """Counts of each word's class by its context, the class of the last common word before it, over all tokens."""
+    import numpy as np
+
+    shared = texts.sparkSession.sparkContext.broadcast({bytes(r.word): r["class"] for r in top_words(vocabulary, COMMON)})
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        of = shared.value
+        sums, rare = np.zeros(WIDTH * WIDTH, np.int64), Counter()
+        kinds = pa.binary(), pa.int32(), pa.int64()
+        batch_of = lambda *c: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["word", "pair", "n"])
+        out = lambda: batch_of([w for w, _ in rare], [c * WIDTH for _, c in rare], list(rare.values()))
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                context, pairs = STOP, []
+                for w in tokens(t):
+                    c = of.get(w)
+                    if c is None:
+                        rare[w, context] += 1
+                    else:
+                        pairs.append(context * WIDTH + c)
+                        context = c
+                pairs.append(context * WIDTH + STOP)
+                sums += np.bincount(pairs, minlength=WIDTH * WIDTH)
+                if len(rare) > HELD:
+                    yield out()
+                    rare.clear()
+        if rare:
+            yield out()
+        (at,) = np.nonzero(sums)
+        yield batch_of([None] * len(at), at.astype(np.int32), sums[at])
+
+    rows = written(texts.mapInArrow(run, "word binary, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n")), "brown-followed")
+    rare = rows.where("word is not null").join(vocabulary.select("word", "class"), "word").select((F.col("pair") + F.col("class")).alias("pair"), "n")
+    m = np.zeros((WIDTH, WIDTH), np.int64)
+    for r in rows.where("word is null").select("pair", "n").unionByName(rare).groupBy("pair").agg(F.sum("n").alias("n")).collect():  # WIDTH ** 2 rows at most
+        m[divmod(r.pair, WIDTH)] = r.n
+    dropped(rows)
+    return m
+
+
 class Model:
     """What scoring needs besides the words: bounded by the number of classes."""
 
@@ -354,15 +393,11 @@ def trained(texts: DataFrame) -> tuple[Model, DataFrame]:
     head = {bytes(r.word): k for k, r in enumerate(top)}
     classes, m = clustered(texts, head)
     rest = placed(texts, head, classes, m)
-    for r in rest.where("word is null").groupBy("class").agg(F.sum("n").alias("n")).collect():  # WIDTH ** 2 rows at most
-        a, b = divmod(r["class"], WIDTH)
-        if a != TAIL:
-            m[a, b] += r.n
     ends = counts.where(F.col("word") == F.lit(b"")).select("word", "n", F.lit(STOP).alias("class"))
     mine = spark.createDataFrame([(r.word, r.n, int(classes[k])) for k, r in enumerate(top)], "word binary, n long, class int")
-    vocabulary = written(rest.where("word is not null").unionByName(mine).unionByName(ends), "brown-vocabulary")
+    vocabulary = written(rest.unionByName(mine).unionByName(ends), "brown-vocabulary")
     stats = {r["class"]: (r.n, r.v) for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    return Model(m, stats, sums.n, sums.v, sums.once, sums.twice), vocabulary
+    return Model(followed(texts, vocabulary), stats, sums.n, sums.v, sums.once, sums.twice), vocabulary
 
 
 def scored(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

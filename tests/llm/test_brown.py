@@ -65,3 +65,24 @@ def test_empty_null_and_repeated(spark):
     assert [(r.n_tokens, r.n_known, r.score) for r in out] == [(1, 0, 0.0), (1, 0, 0.0), (3, 0, 0.0)]
     model, vocabulary = brown.trained(rows)
     assert sorted(r.n_tokens for r in brown.scored(rows, model, vocabulary).collect()) == [1, 1, 3]
+
+
+@pytest.mark.parametrize("common", [60, 20])
+def test_transitions_count_every_token(spark, monkeypatch, common):
+    """Words beyond the head count too, as contexts and as what follows."""
+    monkeypatch.setattr(brown, "HEAD", 10)
+    monkeypatch.setattr(brown, "COMMON", common)
+    seen = []
+    monkeypatch.setattr(brown, "Model", lambda m, *rest: seen.append(m))
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(50 * rng.random() ** 2)}" for _ in range(30)) for _ in range(100)]
+    _, vocabulary = brown.trained(spark.createDataFrame([(t,) for t in texts], "text string"))
+    classes = {bytes(w.word): w["class"] for w in vocabulary.collect()}
+    known = {bytes(w.word) for w in brown.top_words(vocabulary, common)}
+    want = np.zeros((brown.WIDTH, brown.WIDTH))
+    for t in texts:
+        context = brown.STOP
+        for w in [*t.encode().split(), b""]:
+            want[context, classes[w]] += 1
+            context = classes[w] if w in known else context
+    assert want.sum() == 3100 and (seen[0] == want).all()
