@@ -26,6 +26,10 @@ class Engine(Protocol):
         """(field, description, value_type, default_json) of each setting."""
 
 
+#: Look-around and other groups, absolute anchors, possessive quantifiers and carriage returns.
+LINE_ONLY = re.compile(r"\(\?(?![imu]*s?[imu]*\)|:)|\\[AzZGRr]|[*+?}]\+|\r")
+
+
 @dataclass(frozen=True)
 class RegexRule:
     name: str
@@ -75,7 +79,8 @@ class RegexEngine:
         """No join: the selected rules are literals, each a predicate over the file, then over its lines.
 
         Extensions and a test of the whole content come before lines are made, so
-        files without a match cost one pass and are never split.
+        files without a match cost one pass and are never split. Patterns that can tell
+        a line's end from a line break are not tested on the whole content.
         """
         mine = [r for r in self.rules if r.name in set(rules)]
         spark = files.sparkSession
@@ -83,7 +88,7 @@ class RegexEngine:
             return spark.createDataFrame([], VIOLATIONS).drop("violation_ord")
 
         def here(r: RegexRule):
-            hit = F.col("content").rlike(f"(?m){r.pattern}")
+            hit = F.lit(True) if LINE_ONLY.search(r.pattern) else F.col("content").rlike(f"(?m){r.pattern}")
             return (F.col("ext").isin(*r.extensions) & hit) if r.extensions else hit
 
         flags = files.withColumn("__on", F.array(*[here(r) for r in mine])).where(F.exists("__on", lambda x: x))

@@ -91,3 +91,13 @@ def test_summaries(spark, stubs):
     assert summary.rules_lines(selector.select(stubs)) == ["Rules: 5 from 2 engines", "    3 one", "    2 two"]
     per = {r.engine: r.n for r in summary.by_engine(violations(spark, [1, 1]), stubs).collect()}
     assert per == {"one": 2, "two": 0}
+
+
+def test_patterns_that_tell_line_ends_from_breaks_are_found(spark):
+    from rulegrain.sources.engines import RegexEngine, RegexRule
+
+    files = spark.createDataFrame([("f", "txt", "a\nx foo\nb")], "file string, ext string, content string")
+    patterns = (r"foo(?!\s)", r"foo\z", r"(?<!\n)x", r"\Ax", r"foo\s*+$", "(?i)FOO", "(?:x) f")
+    rules = [RegexRule(str(k), p) for k, p in enumerate(patterns)]
+    for r in rules:
+        assert RegexEngine([r]).run([r.name], files).count() == 1, r.pattern
