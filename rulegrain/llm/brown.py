@@ -47,6 +47,7 @@ BLOCK = 256
 MIX = 0.02
 MU = 5.0
 HELD = 300_000
+TEXTS = 500  # coded texts that are counted at once
 END = b""
 
 
@@ -97,50 +98,65 @@ def coded(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
 
 
 def neighbour_counts(ids: DataFrame, classes) -> DataFrame:
-    """(block, before, after): for each word of a block, its neighbours by class, as int64 matrices."""
+    """(block, before, after): for each word of a block, its neighbours by class, as int64 matrices.
+
+    Tasks send the cells that they counted, so what travels follows their texts
+    and not the size of the matrices.
+    """
     import numpy as np
 
     many = len(classes)
     shared = ids.sparkSession.sparkContext.broadcast(np.append(classes, [TAIL, STOP]))
+    cells = 2 * BLOCK * WIDTH  # of a block: before and after in turn for each word
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        of = shared.value
-        before, after = np.zeros(many * WIDTH, np.int64), np.zeros(many * WIDTH, np.int64)
+        of = shared.value.astype(np.int32)
+        counts = np.zeros(-(-many // BLOCK) * cells, np.int64)
+        stop = np.array([many + 1], np.int32)
         for batch in batches:
-            stop = np.array([many + 1], np.int64)
-            parts = [stop]
-            for i in batch.column("ids").to_pylist():
-                parts += [np.frombuffer(i, "<u2").astype(np.int64), stop]
-            w = np.concatenate(parts)
-            c = of[w]
-            at = np.flatnonzero(w < many)
-            before += np.bincount(w[at] * WIDTH + c[at - 1], minlength=many * WIDTH)
-            after += np.bincount(w[at] * WIDTH + c[at + 1], minlength=many * WIDTH)
-        blocks = [(b, before[b * BLOCK * WIDTH : (b + 1) * BLOCK * WIDTH], after[b * BLOCK * WIDTH : (b + 1) * BLOCK * WIDTH]) for b in range(-(-many // BLOCK))]
-        blocks = [x for x in blocks if x[1].any() or x[2].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), *(pa.array([x[k].astype("<i8").tobytes() for x in blocks], pa.binary()) for k in (1, 2))], ["block", "before", "after"])
+            for s in range(0, batch.num_rows, TEXTS):
+                parts = [stop]
+                for i in batch.column("ids").slice(s, TEXTS):
+                    parts += [np.frombuffer(i.as_py(), "<u2").astype(np.int32), stop]
+                w = np.concatenate(parts)
+                c = of[w]
+                at = np.flatnonzero(w < many)
+                cell = np.concatenate([2 * w[at] * WIDTH + c[at - 1], (2 * w[at] + 1) * WIDTH + c[at + 1]])
+                cell, n = np.unique(cell, return_counts=True)
+                counts[cell] += n
+        (at,) = np.nonzero(counts)
+        cuts = np.searchsorted(at, np.arange(0, len(counts) + 1, cells))
+        for b in range(len(cuts) - 1):
+            if len(mine := at[cuts[b] : cuts[b + 1]]):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([(mine - b * cells).astype("<u2").tobytes()], pa.binary()), pa.array([counts[mine].astype("<i8").tobytes()], pa.binary())], ["block", "cells", "n"])
 
     def total(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        at, sums = None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([s.tobytes()], pa.binary()) for s in sums)], ["block", "before", "after"])
+        at, sums = None, np.zeros(cells, np.int64)
+
+        def out() -> pa.RecordBatch:
+            both = sums.reshape(BLOCK, 2, WIDTH)[: many - at * BLOCK]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([np.ascontiguousarray(both[:, k]).tobytes()], pa.binary()) for k in (0, 1))], ["block", "before", "after"])
+
         for batch in batches:
-            for b, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                mine = [np.frombuffer(v, "<i8") for v in (x, y)]
+            for b, x, n in zip(*(batch.column(k) for k in range(3)), strict=True):
+                b = b.as_py()
                 if b != at:
                     if at is not None:
                         yield out()
-                    at, sums = b, mine
-                else:
-                    sums = [s + m for s, m in zip(sums, mine, strict=True)]
+                    at = b
+                    sums[:] = 0
+                sums[np.frombuffer(x.as_py(), "<u2")] += np.frombuffer(n.as_py(), "<i8")
         if at is not None:
             yield out()
 
-    kind = "block int, before binary, after binary"
-    return ids.mapInArrow(run, kind).repartition("block").sortWithinPartitions("block").mapInArrow(total, kind)
+    mine = ids.mapInArrow(run, "block int, cells binary, n binary")
+    return mine.repartition("block").sortWithinPartitions("block").mapInArrow(total, "block int, before binary, after binary")
 
 
 def transitions(counts: DataFrame, classes):
@@ -405,18 +421,21 @@ def scored(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "
     spark = docs.sparkSession
     common = top_words(vocabulary, COMMON)
     stop = vocabulary.where(F.col("word") == F.lit(b"")).select("n").first()
-    shared = spark.sparkContext.broadcast((model, {bytes(r.word): k for k, r in enumerate(common)}, [r.n for r in common], [r["class"] for r in common], stop.n if stop else 0))
+    # plain arrays: broadcasts are pickled by reference, and executors may lack this package
+    import numpy as np
+
+    ends = stop.n if stop else 0
+    n, c = np.array([*(r.n for r in common), 0, ends], float), np.array([*(r["class"] for r in common), TAIL, STOP], np.int64)
+    shared = spark.sparkContext.broadcast(({bytes(r.word): k for k, r in enumerate(common)}, c, model.base(n), model.emission(n, c), model.step, ends))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        mod, places, n, c, ends = shared.value
-        n, c = np.append(np.array(n, float), [0, ends]), np.append(np.array(c, np.int64), [TAIL, STOP])
+        places, c, raw, fits, step, ends = shared.value
         other, stop_at = len(places), len(places) + 1
-        base = np.log10(mod.base(n))
-        fits, raw = mod.emission(n, c), mod.base(n)
+        base = np.log10(raw)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             docs_out, rare = [], []
@@ -434,7 +453,7 @@ def scored(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "
                     docs_out.append((i, row, len(at), 0, base[stop_at], base[stop_at]))
                     continue
                 known = np.flatnonzero(at != other)
-                p = (1 - MIX) * mod.step[context[known], c[at[known]]] * fits[at[known]] + MIX * raw[at[known]]
+                p = (1 - MIX) * step[context[known], c[at[known]]] * fits[at[known]] + MIX * raw[at[known]]
                 docs_out.append((i, row, len(at), len(known), float(base[at[known]].sum()), float(np.log10(p).sum())))
                 rare += [(i, row, x, k, many) for (x, k), many in Counter((w[j], int(context[j])) for j in np.flatnonzero(at == other).tolist()).items()]
             a, b = len(docs_out), len(rare)

@@ -86,3 +86,49 @@ def test_transitions_count_every_token(spark, monkeypatch, common):
             want[context, classes[w]] += 1
             context = classes[w] if w in known else context
     assert want.sum() == 3100 and (seen[0] == want).all()
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Every token's probability from the counts of all words, by plain loops."""
+    monkeypatch.setattr(brown, "HEAD", 12)
+    monkeypatch.setattr(brown, "COMMON", 25)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.integers(0, 25))) for _ in range(120)]
+    train, held = texts[:90], [*texts[90:], "w1 unseen w2", None]
+    model, vocabulary = brown.trained(spark.createDataFrame([(t,) for t in train], "text string"))
+    n = Counter(w for t in train for w in [*t.encode().split(), b""])
+    rows = {bytes(r.word): r["class"] for r in vocabulary.collect()}
+    assert rows.keys() == n.keys() and rows[b""] == brown.STOP
+    common = {w for w, _ in sorted(((w, k) for w, k in n.items() if w), key=lambda x: (-x[1], x[0]))[:25]}
+    total, size, kinds, after = sum(n.values()), Counter(), Counter(), Counter()
+    for w, c in rows.items():
+        size[c] += n[w]
+        kinds[c] += 1
+
+    def walk(t):
+        context = brown.STOP
+        for w in [*(t or "").encode().split(), b""]:
+            yield context, w
+            context = rows[w] if w in common else context
+
+    for t in train:
+        after.update((c, rows[w]) for c, w in walk(t))
+    ones, twos = (sum(v == k for v in n.values()) for k in (1, 2))
+    discount = ones / (ones + 2 * twos) if ones else 0.5
+    step = lambda c, k: (after[c, k] + brown.MU * size[k] / total) / (sum(after[c, x] for x in size) + brown.MU)
+
+    def p(context, w):
+        base = (n[w] + 0.1) / (total + 0.1 * (len(n) + 1))
+        if w == b"":
+            fit = step(context, brown.STOP)
+        elif w in rows:
+            fit = step(context, rows[w]) * (n[w] - discount) / size[rows[w]]
+        else:
+            fit = sum(step(context, k) * discount * kinds[k] / size[k] for k in size if k != brown.STOP)
+        return (1 - brown.MIX) * fit + brown.MIX * base
+
+    got = brown.scored(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), model, vocabulary).collect()
+    for r in got:
+        want = sum(math.log10(p(c, w)) for c, w in walk(held[r.doc_id]))
+        assert abs(r.score - want) < 1e-9 * max(1, -want)
+    assert len(got) == len(held)
