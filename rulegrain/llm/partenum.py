@@ -39,10 +39,11 @@ from rulegrain.llm.common import written
 from rulegrain.llm.components import components
 
 BLOCK = 2_000  # members whose sketches are compared at once
-TASK_MEMBERS = 50_000
+TASK_MEMBERS = 8_000
 PAIRS_A_TASK = 500
 BROADCAST_IDS = 500_000
 SEEDS = 4
+MOST_CLASHING = 1_000
 FIRST_ASKED, ASKED_GROWTH = 2, 16  # pairs that a member of an open bucket asks for, and their growth each round
 
 
@@ -141,11 +142,11 @@ def signatures(s, p: int, q: int, seed: int = 0):
 
 
 def sketch(s) -> bytes:
-    """Parities of a set over a power of two of cells, two for each shingle at least. Where two
+    """Parities of a set over a power of two of cells, eight for each shingle at least. Where two
     sketches differ, the sets differ: in no fewer shingles than cells."""
     import numpy as np
 
-    cells = max(64, 2 << (len(s) - 1).bit_length())
+    cells = max(64, 8 << (len(s) - 1).bit_length())
     at = (mixed(s) & np.uint64(cells - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=cells) & 1, bitorder="little").tobytes()
 
@@ -177,8 +178,11 @@ def described(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sketch binary")
 
 
-def signed(texts: DataFrame, n: int, p: int, q: int, seed: int = 0) -> DataFrame:
-    """texts (doc_id, text) to (sig, node); a task signs equal sets once while it remembers them."""
+def signed(texts: DataFrame, n: int, p: int, q: int, seed: int = 0, clashing: frozenset = frozenset()) -> DataFrame:
+    """texts (doc_id, text) to (sig, node); a task signs equal sets once while it remembers them.
+
+    Sets whose key is in `clashing` have their second key instead.
+    """
 
     def run(batches: Iterator) -> Iterator:
         from hashlib import blake2b
@@ -191,7 +195,9 @@ def signed(texts: DataFrame, n: int, p: int, q: int, seed: int = 0) -> DataFrame
             sigs, nodes = [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, n)
-                node = int.from_bytes(blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
+                digest = blake2b(s.tobytes(), digest_size=16).digest()
+                node, check = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+                node = check if node in clashing else node
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
@@ -282,14 +288,20 @@ def _crossing(rows: DataFrame, p: int, q: int, most: int) -> DataFrame:
 
         (ca, na, ka), (cb, nb, kb) = x, y
         few = min(ka.shape[1], kb.shape[1])
-        ka, kb = (np.bitwise_xor.reduce(k.reshape(len(k), -1, few), axis=1) for k in (ka, kb))
+        fold = lambda k, to: np.bitwise_xor.reduce(k.reshape(len(k), -1, to), axis=1)
+        ka, kb = fold(ka, few), fold(kb, few)
+        coarse = max(8, few // 8)
+        la, lb = fold(ka, coarse), fold(kb, coarse)  # most pairs differ enough in these
         near = (ca[:, None] != cb[None, :]) & (q * np.minimum(na[:, None], nb[None, :]) >= p * np.maximum(na[:, None], nb[None, :]))
         i, j = np.nonzero(near)
         out = [(i[:0], j[:0], i[:0])]
         for s in range(0, len(i), 100_000):
             ii, jj = i[s : s + 100_000], j[s : s + 100_000]
+            most_apart = (na[ii] + nb[jj]) * (q - p) // (q + p)
+            ok = np.bitwise_count(la[ii] ^ lb[jj]).sum(axis=1, dtype=np.int64) <= most_apart
+            ii, jj, most_apart = ii[ok], jj[ok], most_apart[ok]
             differ = np.bitwise_count(ka[ii] ^ kb[jj]).sum(axis=1, dtype=np.int64)
-            ok = differ <= (na[ii] + nb[jj]) * (q - p) // (q + p)
+            ok = differ <= most_apart
             out.append((ii[ok], jj[ok], differ[ok]))
         i, j, differ = (np.concatenate(c) for c in zip(*out, strict=True))
         order = np.lexsort((j, differ, i))
@@ -392,10 +404,15 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, id_col: str = "
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     plain = written(described(docs, n), "near-sets")
-    classes = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("clash"))
-    classes = written(classes, "near-classes")
-    if classes.where("clash").limit(1).count():
-        raise ValueError("two different sets have one 64-bit key")
+    classes_of = lambda sets: written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("clash")), "near-classes")
+    classes = classes_of(plain)
+    # different sets with one 64-bit key, about one in 6e9 sets: they go by the digest's second half
+    clashing = frozenset(r.node for r in classes.where("clash").select("node").limit(MOST_CLASHING + 1).collect())
+    if clashing:
+        plain = plain.withColumn("node", F.when(F.col("node").isin(*clashing), F.col("check")).otherwise(F.col("node")))
+        classes = classes_of(plain)
+        if len(clashing) > MOST_CLASHING or classes.where("clash").limit(1).count():
+            raise ValueError("too many different sets with one 64-bit key")
     names = classes.select("node", "rep")
     by = lambda c: classes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
 
@@ -405,7 +422,7 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, id_col: str = "
         sized = sized.where(q * F.least("x_size", "y_size") >= p * F.greatest("x_size", "y_size"))
         return _possible(sized.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"), (F.col("x_size") + F.col("y_size")).alias("size"), "x_sketch", "y_sketch"), p, q)
 
-    buckets = written(shared_buckets(signed(docs, n, p, q)), "near-buckets")
+    buckets = written(shared_buckets(signed(docs, n, p, q, clashing=clashing)), "near-buckets")
     tested = written(candidates(buckets.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))), "near-pairs")
     links = written(_verified(tested, docs, n, p, q), "near-links")
     labels = written(components(links), "near-components")

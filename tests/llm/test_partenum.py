@@ -115,3 +115,50 @@ def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     out = {r.node: r.component for r in components.components(links).collect()}
     assert out == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_sets_with_one_key_are_told_apart(spark, monkeypatch):
+    """Different sets whose 64-bit keys are equal go by their second keys."""
+    import hashlib
+
+    plain = hashlib.blake2b
+
+    class Clashing:
+        def __init__(self, data, digest_size):
+            self.data = plain(data, digest_size=digest_size).digest()
+
+        def digest(self):
+            return bytes([self.data[0] % 8]) + bytes(7) + self.data[8:]
+
+    described, signed = partenum.described, partenum.signed
+
+    def with_clashes(f):
+        def call(docs, *args, **more):
+            class Frame:
+                def __init__(self, df):
+                    self.df = df
+
+                def select(self, *c):
+                    return Frame(self.df.select(*c))
+
+                def mapInArrow(self, run, kind):
+                    def patched(batches):
+                        import hashlib
+
+                        hashlib.blake2b = Clashing
+                        try:
+                            yield from run(batches)
+                        finally:
+                            hashlib.blake2b = plain
+
+                    return self.df.mapInArrow(patched, kind)
+
+            return f(Frame(docs), *args, **more)
+
+        return call
+
+    monkeypatch.setattr(partenum, "described", with_clashes(described))
+    monkeypatch.setattr(partenum, "signed", with_clashes(signed))
+    rows = variants(11, 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(partenum.near_groups(df, 4, 85, 100)) == brute(rows, 4, 85, 100)
