@@ -88,13 +88,15 @@ RULES_SQL = "rules AS " + _values(_RULE_ROWS, "engine, engine_ord, rule, rule_or
 OVERRIDES_SQL = "over AS " + _values(CHANGES, "engine, rule, o_severity, o_tags") + ", eff AS (SELECT r.* REPLACE (coalesce(o_severity, severity) AS severity, coalesce(o_tags, tags) AS tags) FROM rules r LEFT JOIN over USING (engine, rule))"
 FILES_SQL = """files AS (SELECT '/ws/' || source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS file, 'txt' AS ext, coalesce(text, '') AS content FROM documents
 UNION ALL SELECT '/ws/pages/' || lpad(page_id::VARCHAR, 8, '0') || '.html', 'html', coalesce(html, '') FROM pages)"""
+#: Each match stands between two marks, so what is before it, less the marks, tells its column.
 _PER_RULE = " UNION ALL ".join(
-    f"SELECT file, n AS start_line, '{r[0]}' AS engine, '{r[2]}' AS rule, regexp_extract(line, '{r[6]}') AS m, line FROM lines WHERE regexp_matches(line, '{r[6]}')" + (f" AND ext IN ({', '.join(map(_q, r[7]))})" if r[7] else "") for r in _RULE_ROWS
+    f"SELECT file, n AS start_line, '{r[0]}' AS engine, '{r[2]}' AS rule, s, unnest(range(2, len(s) + 1)) AS k FROM (SELECT file, n, string_split(regexp_replace(line, '({r[6]})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS s FROM lines WHERE regexp_matches(line, '{r[6]}')" + (f" AND ext IN ({', '.join(map(_q, r[7]))})" if r[7] else "") + ")" for r in _RULE_ROWS
 )
 VIOLATIONS_SQL = f"""WITH {RULES_SQL}, {FILES_SQL},
 lines AS (SELECT file, ext, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM files),
-hits AS ({_PER_RULE}),
-v AS (SELECT h.file, h.start_line::INT AS start_line, instr(line, m)::INT AS start_column, (instr(line, m) + length(m))::INT AS end_column, h.engine, h.rule, severity, description AS message, tags, urls FROM hits h JOIN rules USING (engine, rule))"""
+marked AS ({_PER_RULE}),
+hits AS (SELECT file, start_line, engine, rule, length(replace(array_to_string(s[1:k - 1], ''), chr(2), '')) + 1 AS c, length(split_part(s[k], chr(2), 1)) AS size FROM marked),
+v AS (SELECT h.file, h.start_line::INT AS start_line, c::INT AS start_column, (c + size)::INT AS end_column, h.engine, h.rule, severity, description AS message, tags, urls FROM hits h JOIN rules USING (engine, rule))"""
 
 
 def _at() -> Column:

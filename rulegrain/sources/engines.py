@@ -40,10 +40,11 @@ class RegexRule:
     description: str = ""
     urls: tuple[str, ...] = ()
     message: str | None = None
+    every: bool = True  # all matches of a line, or its first
 
 
 def regex_literal(text: str) -> str:
-    """`/pattern/flags` as a Java pattern; g means all matches and says nothing here."""
+    """`/pattern/flags` as a Java pattern; g, all matches of a line, is no part of it."""
     m = re.fullmatch(r"/(.+)/([a-z]*)", text, re.S)
     if not m:
         raise ValueError(f"{text!r} is no /pattern/flags")
@@ -55,9 +56,9 @@ def regex_literal(text: str) -> str:
 
 @dataclass
 class RegexEngine:
-    """Line-wise patterns. One violation for each line and rule, at the line's first match.
+    """Line-wise patterns. One violation for each match of a line, or, for a rule without `every`, for its first.
 
-    Columns count code points from 1.
+    Columns count code points from 1; the end column is the one after the match.
     """
 
     rules: list[RegexRule] = field(default_factory=list)
@@ -66,7 +67,7 @@ class RegexEngine:
     @classmethod
     def from_config(cls, custom: dict, name: str = "regex") -> RegexEngine:
         """custom: name to {regex, file_extensions, description, severity?, tags?}."""
-        made = [RegexRule(n, regex_literal(c["regex"]), tuple(e.lstrip(".").lower() for e in c.get("file_extensions", ())), parse_severity(c.get("severity", 3)), tuple(c.get("tags", (DEFAULT_TAG,))), c.get("description", "")) for n, c in custom.items()]
+        made = [RegexRule(n, regex_literal(c["regex"]), tuple(e.lstrip(".").lower() for e in c.get("file_extensions", ())), parse_severity(c.get("severity", 3)), tuple(c.get("tags", (DEFAULT_TAG,))), c.get("description", ""), every="g" in c["regex"].rpartition("/")[2]) for n, c in custom.items()]
         return cls(made, name)
 
     def describe(self, spark: SparkSession, files: DataFrame | None) -> list[tuple]:
@@ -95,10 +96,17 @@ class RegexEngine:
         lines = flags.select("file", "__on", F.posexplode(F.split("content", "\n")).alias("__at", "__line"))
 
         def found(k: int, r: RegexRule):
-            match = F.regexp_extract("__line", f"({r.pattern})", 1)
-            return F.when(F.get("__on", F.lit(k)) & F.col("__line").rlike(r.pattern), F.struct(F.lit(r.name).alias("rule"), F.lit(r.message or r.description or r.name).alias("message"), F.instr("__line", match).alias("column"), F.length(match).alias("length")))
-
-        hits = lines.withColumn("__hits", F.filter(F.array(*[found(k, r) for k, r in enumerate(mine)]), lambda x: x.isNotNull())).where(F.size("__hits") > 0)
+            """The line's matches (rule, message, column, length); what lies between them tells where they are."""
+            matches = F.regexp_extract_all("__line", F.lit(f"({r.pattern})"), F.lit(1))
+            between = F.split("__line", r.pattern, -1)
+            between = F.when(F.size(between) == F.size(matches), F.concat(F.array(F.lit("")), between)).otherwise(between)  # an empty match at the start
+            all_before = lambda x, n: F.length(F.array_join(F.slice(x, F.lit(1), n), ""))
+            place = lambda i: F.struct(F.lit(r.name).alias("rule"), F.lit(r.message or r.description or r.name).alias("message"), (all_before(between, i) + all_before(matches, i - 1) + 1).alias("column"), F.length(F.get(matches, i - 1)).alias("length"))
+            last = F.size(matches) if r.every else F.lit(1)
+            none = F.expr("cast(array() as array<struct<rule:string,message:string,column:int,length:int>>)")
+            return F.when(F.get("__on", F.lit(k)) & F.col("__line").rlike(r.pattern), F.transform(F.sequence(F.lit(1), last), place)).otherwise(none)
+
+        hits = lines.withColumn("__hits", F.flatten(F.array(*[found(k, r) for k, r in enumerate(mine)]))).where(F.size("__hits") > 0)
         hit = hits.select("file", "__at", F.explode("__hits").alias("h"))
         place = F.struct(
             F.col("file").alias("file"), (F.col("__at") + 1).cast("int").alias("start_line"), F.col("h.column").cast("int").alias("start_column"),

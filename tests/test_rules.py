@@ -101,3 +101,20 @@ def test_patterns_that_tell_line_ends_from_breaks_are_found(spark):
     rules = [RegexRule(str(k), p) for k, p in enumerate(patterns)]
     for r in rules:
         assert RegexEngine([r]).run([r.name], files).count() == 1, r.pattern
+
+
+def test_every_match_of_a_line_at_its_place(spark):
+    from rulegrain.sources.engines import RegexEngine, RegexRule
+
+    files = spark.createDataFrame([("a.ts", "ts", "foobar foo TODO\nx todo, Todo\n\u00e9\u00e9 foo foo")], "file string, ext string, content string")
+
+    def places(engine):
+        rows = engine.run([r.name for r in engine.rules], files).select("code_locations").collect()
+        return sorted((p.start_line, p.start_column, p.end_column) for r in rows for p in r.code_locations)
+
+    assert places(RegexEngine([RegexRule("w", r"\bfoo\b")])) == [(1, 8, 11), (3, 4, 7), (3, 8, 11)]
+    assert places(RegexEngine([RegexRule("a", r"^x|foo")])) == [(1, 1, 4), (1, 8, 11), (2, 1, 2), (3, 4, 7), (3, 8, 11)]
+    config = lambda flags: {"NoTodos": {"regex": f"/todo/{flags}", "file_extensions": [".ts"], "description": "d"}}
+    assert places(RegexEngine.from_config(config("gi"))) == [(1, 12, 16), (2, 3, 7), (2, 9, 13)]
+    assert places(RegexEngine.from_config(config("i"))) == [(1, 12, 16), (2, 3, 7)]
+    assert places(RegexEngine([RegexRule("e", r"(?=x)")])) == [(2, 1, 1)]
