@@ -48,9 +48,9 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    # \\ and \n are read from the left: two characters at a time
-    inner = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(inner, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # \\ and \n are read from the left: between two double backslashes there are none
+    parts = F.split(unescaped(role), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
@@ -66,16 +66,17 @@ def folded(events: DataFrame) -> DataFrame:
     the deltas after it are appended. Windows by conversation and by turn of a
     conversation share one shuffle.
     """
-    order = [F.col("seq").asc_nulls_first(), F.col("kind"), F.col("role"), F.col("text")]
+    # from the end of the log: frames that only grow are not summed afresh for each row
+    order = [F.col(c).desc_nulls_last() for c in ("seq", "kind", "role", "text")]
     conv = Window.partitionBy("conv_id").orderBy(*order)
-    after = conv.rowsBetween(1, Window.unboundedFollowing)
+    after = conv.rowsBetween(Window.unboundedPreceding, -1)
     # the lowest turn that any later event regenerates: all beyond it goes
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(after)
     turn = Window.partitionBy("conv_id", "turn").orderBy(*order)
     base = F.col("kind").isin("message", "edit", "regenerate")
     live = events.withColumn("__cut", cut).where(F.col("__cut").isNull() | (F.col("turn") <= F.col("__cut")))
-    live = live.withColumn("__left", F.sum(F.when(base, 1).otherwise(0)).over(turn.rowsBetween(1, Window.unboundedFollowing)))
-    live = live.withColumn("__nth", F.row_number().over(turn))
+    live = live.withColumn("__left", F.sum(F.when(base, 1).otherwise(0)).over(turn.rowsBetween(Window.unboundedPreceding, -1)))
+    live = live.withColumn("__nth", -F.row_number().over(turn))
     live = live.where(F.coalesce(F.col("__left"), F.lit(0)) == 0)
     return live.groupBy("conv_id", "turn").agg(
         F.max_by("role", F.when(F.col("role").isNotNull(), F.col("__nth"))).alias("role"),

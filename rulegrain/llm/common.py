@@ -23,9 +23,14 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a default of our own only where none is set."""
+    """The cluster's shared folder, as the session or its context has it; a default of our own only where none is set, in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = context.get() if context.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = DEFAULT_SHARED
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

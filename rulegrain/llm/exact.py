@@ -12,8 +12,9 @@ row from each task. What a document's group is, it learns from a join with the
 index, where Spark splits a hot key's rows.
 
 Defined results: null text is the empty text; all empty texts are one group;
-repeated rows (same id and text) count each and keep the same id; an empty
-table gives no rows; extra columns are ignored.
+repeated rows (same id and text) count each and keep the same id; a null id
+stays only where its group has no other; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,6 +70,10 @@ def directory_of(keys: DataFrame, capacity: int) -> list[int]:
     return build_directory({r.slot: r.n for r in counts.collect()}, fine, capacity)
 
 
+def _least(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else min(a, b)
+
+
 def _combine(directory: list[int]):
     """Merge a task's copies: one entry for each distinct text held, flushed by size."""
     depth = (len(directory) - 1).bit_length()
@@ -93,7 +98,7 @@ def _combine(directory: list[int]):
                         yield flush()
                         held, size = {}, 0
                 else:
-                    e[1], e[2] = min(e[1], i), e[2] + 1
+                    e[1], e[2] = _least(e[1], i), e[2] + 1
         if held:
             yield flush()
 
@@ -132,7 +137,7 @@ def _own(batches: Iterator) -> Iterator:
                     out = []
             for link in chain:
                 if link[0] == t:
-                    link[1], link[2] = min(link[1], i), link[2] + n
+                    link[1], link[2] = _least(link[1], i), link[2] + n
                     break
             else:
                 chain.append([t, i, n])
@@ -157,4 +162,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
     keys = written(keys, "exact-keys")
     index = build_index(docs, keys, id_col, text, capacity, key)
     found = keys.join(index.select("h", "text_sha256", "keep_id", "group_size"), ["h", "text_sha256"])
-    return found.select(id_col, "keep_id", "group_size", (F.col(id_col) == F.col("keep_id")).alias("kept"), "text_sha256")
+    return found.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -30,6 +30,15 @@ def test_control_strings_round_trip(spark):
         assert got[conv] == ([(role, text)], text if role == "assistant" else "")
 
 
+def test_long_logs_and_odd_roles(spark):
+    many = [(1, k, "delta", 1, None, f"{k},") for k in range(1, 20_001)]
+    roles = ["a\x00b", "\\\\n", "\\", "\\\n", None]
+    log = [(1, 0, "message", 1, "assistant", ""), *many, *((10 + k, 1, "message", 1, r, "t") for k, r in enumerate(roles))]
+    got = read(chat.format_chats(spark.createDataFrame(log, EVENTS)))
+    assert got[1][0] == [("assistant", "".join(f"{k}," for k in range(1, 20_001)))]
+    assert [got[10 + k][0] for k in range(len(roles))] == [[(r or "", "t")] for r in roles]
+
+
 def test_query_matches_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
     by = {-7: [(r, t) for _, _, r, t in queries.EXTRA_CHAT]}

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -46,3 +47,10 @@ def test_empty_table(spark):
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     assert got(queries.op8_exact_dedup(spark, "/root/testdata/sf0.001")) == brute([(d.doc_id, d.text) for d in docs])
+
+
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (7, "b"), (3, "b")], "doc_id long, text string")
+    got = sorted((r.text_sha256, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(docs).collect())
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in "ab"}
+    assert got == sorted([(sha["a"], 0, None, 2, True)] * 2 + [(sha["b"], 0, 3, 3, False), (sha["b"], 3, 3, 3, True), (sha["b"], 7, 3, 3, False)], key=lambda r: r[:2])
