@@ -30,7 +30,6 @@ documents; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +79,6 @@ def shingles(text: str | None, n: int):
     return out[first]
 
 
-@lru_cache(maxsize=None)
 def band_of(size: int, p: int, q: int) -> tuple[int, int, int]:
     """(number, lowest, highest size) of the band that holds `size`; similarity p / q."""
     at, low = 0, 1
@@ -89,7 +87,6 @@ def band_of(size: int, p: int, q: int) -> tuple[int, int, int]:
     return at, low, high
 
 
-@lru_cache(maxsize=None)
 def shape(high: int, p: int, q: int) -> tuple[int, int, int]:
     """(parts, sub-parts, k2) for a band whose largest size is `high`."""
     k = 2 * high * (q - p) // (q + p)
