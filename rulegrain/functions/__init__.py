@@ -54,6 +54,16 @@ def header(title: Column) -> Column:
     return F.concat(F.lit("=== "), title)
 
 
+def header_and_body(title: Column, pairs: Column) -> Column:
+    """A header, and under it the list of properties, moved right."""
+    return F.concat(header(title), F.lit("\n"), indented(property_list(pairs)))
+
+
+def dimmed(text: Column) -> Column:
+    """Grey on a terminal."""
+    return F.concat(F.lit("\x1b[2m"), text, F.lit("\x1b[22m"))
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulegrain.functions import compact_timestamp, indented
+from rulegrain.functions import commented, compact_timestamp, elapsed_seconds, header_and_body, indented, inline_comment, message, property_list
 from rulegrain.operators import catalog, confdiff, results, selector, summary
 from rulegrain.plans import sinks
-from rulegrain.schema import FIELDS, OVERRIDES, SEVERITIES
+from rulegrain.plans.api import view_of
+from rulegrain.schema import FIELDS, OVERRIDES, SEVERITIES, VIOLATIONS, parse_severity, severity_of
+from rulegrain.sources import config as conf
 from rulegrain.sources import workspace as ws
 from rulegrain.sources.engines import RegexEngine, RegexRule, Registry
 from rulegrain.streaming import events as ev
@@ -377,6 +379,140 @@ def text_functions(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", compact_timestamp(F.col("ts")).alias("stamp"), indented(F.col("props")).alias("text"))
 
 
+_LEVEL_TEXT = "severity || ' (' || ['Critical', 'High', 'Moderate', 'Low', 'Info'][severity] || ')'"
+_SPOT_TEXT = "file || ' (' || start_line || ':' || start_column || '-' || start_line || ':' || end_column || ')'"
+
+
+@query(VIOLATIONS_SQL + f""" SELECT row_number() OVER (ORDER BY severity, file, start_line, start_column, engine, rule) AS num, engine || ':' || rule AS title, {_LEVEL_TEXT} AS severity, engine, rule, message,
+{_SPOT_TEXT} AS location, NULL::VARCHAR AS locations, CASE WHEN len(urls) = 1 THEN urls[1] END AS resource, CASE WHEN len(urls) > 1 THEN array_to_string(urls, ' ') END AS resources FROM v WHERE list_contains(tags, 'Legal')""")
+def violations_details(spark, sf_dir):
+    out = results.details(_ordered(violations(spark, sf_dir, "Legal")), collation=None)
+    return out.withColumns({c: F.array_join(c, " ") for c in ("locations", "resources")})
+
+
+@query(VIOLATIONS_SQL + f""", u AS (SELECT *, CASE WHEN regexp_extract(file, '([0-9])[.][a-z]+$', 1)::INT % 2 = 1 THEN replace(replace(file, 'src', 'SRC'), 'pages', 'PAGES') ELSE file END AS named FROM v WHERE list_contains(tags, 'Legal'))
+SELECT row_number() OVER (ORDER BY severity, lower(named), start_line, start_column, engine, rule) AS num, named AS file, rule FROM u""")
+def violations_sorted_locale(spark, sf_dir):
+    """Files of two cases stand among each other in a language's order, not capitals first."""
+    odd = F.regexp_extract(_at()["file"], r"([0-9])\.[a-z]+$", 1).cast("int") % 2 == 1
+    loud = F.replace(F.replace(_at()["file"], F.lit("src"), F.lit("SRC")), F.lit("pages"), F.lit("PAGES"))
+    v = _ordered(violations(spark, sf_dir, "Legal"))
+    v = v.withColumn("code_locations", F.transform("code_locations", lambda x: x.withField("file", F.when(odd, loud).otherwise(x["file"]))))
+    return results.numbered(v).select("num", _at()["file"].alias("file"), "rule")
+
+
+@query("""WITH m AS (SELECT '/ws/' || source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS file, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+SELECT 'any_the' AS rule, sum(len(regexp_extract_all(lower(line), 'the')))::BIGINT AS n FROM m UNION ALL SELECT 'first_the', count(*) FILTER (contains(line, 'the')) FROM m""")
+def violations_custom_rules(spark, sf_dir):
+    custom = {"any_the": {"regex": "/the/gi", "file_extensions": [".txt"]}, "first_the": {"regex": "/the/", "file_extensions": [".TXT"]}, "no_such": {"regex": "/the/g", "file_extensions": [".cls"]}}
+    engine = RegexEngine.from_config(custom)
+    return engine.run(list(custom), files(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('1', 1), ('Critical', 1), (' hIGH ', 2), ('3', 3), ('low', 4), ('INFO', 5)) AS t(given, severity)")
+def severities_parsed(spark, sf_dir):
+    rows = spark.createDataFrame([(x, parse_severity(x)) for x in ("1", "Critical", " hIGH ", "3", "low", "INFO")], "given string, parsed int")
+    same = F.when(F.col("parsed") == severity_of(F.col("given")), F.col("parsed"))
+    return rows.select("given", same.alias("severity"))
+
+
+@query("SELECT * FROM (VALUES ('a.csv', 'csv'), ('A.JSON', 'json'), ('x.sarif.json', 'sarif'), ('b.Sarif', 'sarif'), ('c.htm', 'html'), ('d.html', 'html'), ('e.json.xml', 'xml')) AS t(path, format)")
+def output_formats(spark, sf_dir):
+    return spark.createDataFrame([(p, sinks.format_of(p)) for p in ("a.csv", "A.JSON", "x.sarif.json", "b.Sarif", "c.htm", "d.html", "e.json.xml")], "path string, format string")
+
+
+@query("SELECT * FROM (VALUES (NULL, 0, 'table'), (NULL, 2, NULL), ('detail', 0, 'detail'), ('table', 1, 'table')) AS t(asked, n_files, view)")
+def view_choice(spark, sf_dir):
+    asked = [(None, 0), (None, 2), ("detail", 0), ("table", 1)]
+    return spark.createDataFrame([(v, n, view_of(v, ["out.csv"] * n)) for v, n in asked], "asked string, n_files int, view string")
+
+
+ROOTED = [
+    ("web", "p1", 0, "text", "string", '"a"', '"/root/cfg/sub/a"', True), ("web", "p2", 1, "text", "array", "[]", '["/root/cfg/x","/root/cfgs/y","z/root/cfg/"]', True),
+    ("web", "p3", 2, "text", "object", "{}", '{"/root/cfg/k":"/root/cfg/v","n":1}', True), ("web", "p4", 3, "text", "string", '"/root/cfg/d"', '"/root/cfg/d"', True), ("web", "p5", 4, "text", "string", '"d"', '"/root/cfg/e"', False),
+]
+
+
+@query("""SELECT * FROM (VALUES ('p1', 'modified', '"sub/a"'), ('p2', 'modified', '["x","/root/cfgs/y","z/root/cfg/"]'), ('p3', 'modified', '{"/root/cfg/k":"v","n":1}'), ('p4', 'default', '"/root/cfg/d"'), ('p5', 'derived', '"d"')) AS t(field, status, printed_json)""")
+def config_paths_relative(spark, sf_dir):
+    return confdiff.field_diff(spark.createDataFrame(ROOTED, FIELDS), "/root/cfg").select("field", "status", "printed_json")
+
+
+@query("SELECT * FROM (VALUES ('web', 'p1', '\"v\"', true), ('web', 'p2', '2', false), ('broken', 'p1', '\"raw\"', true), ('broken', 'p2', NULL, false)) AS t(engine, field, value_json, supplied)")
+def config_validated_or_raw(spark, sf_dir):
+    """The engine `broken` could not be made, so the user's raw values stand in."""
+    described = spark.createDataFrame([(e, f) for e in ("web", "broken") for f in ("p1", "p2")], "engine string, field string")
+    fields = described.withColumns({"value_json": F.lit(None).cast("string"), "supplied": F.lit(None).cast("boolean")})
+    settings = "engine string, field string, value_json string"
+    validated = spark.createDataFrame([("web", "p1", '"v"'), ("web", "p2", "2")], settings)
+    raw = spark.createDataFrame([("web", "p1", '" v "'), ("broken", "p1", '"raw"')], settings)
+    return confdiff.resolved(fields, validated, raw).select("engine", "field", "value_json", "supplied")
+
+
+@query("SELECT * FROM (VALUES ('web', 'r1', 2, NULL), ('web', 'r2', NULL, ''), ('prose', 'r1', 5, 'a,b')) AS t(engine, rule, severity, tags)")
+def config_overrides(spark, sf_dir):
+    raw = {"rules": {"web": {"r1": {"severity": "High"}, "r2": {"tags": []}}, "prose": {"r1": {"severity": 5, "tags": ["a", "b"]}}}}
+    return conf.overrides(spark, conf.checked(raw)).select("engine", "rule", "severity", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT source, count(*) AS n_files FROM documents GROUP BY source")
+def workspace_union(spark, sf_dir):
+    """Two paths that overlap: each file counts once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    both = ws.union(ws.from_documents(docs), ws.from_documents(docs.where("doc_id % 3 = 0")))
+    return both.groupBy(F.get(F.split("file", "/"), F.lit(2)).alias("source")).agg(F.count("*").alias("n_files"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(string_split(t, chr(10)), lambda x: '# ' || x), chr(10))) AS commented,
+md5(CASE WHEN contains(t, chr(10)) THEN substr(t, 1, strpos(t, chr(10)) - 1) || '  # note ' || doc_id || substr(t, strpos(t, chr(10))) ELSE t || '  # note ' || doc_id END) AS inline,
+md5(array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN x = '' THEN x ELSE '    ' || x END), chr(10))) AS indented FROM d""")
+def text_comments(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    note = F.concat(F.lit("note "), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", F.md5(commented(F.col("t"))).alias("commented"), F.md5(inline_comment(F.col("t"), note)).alias("inline"), F.md5(indented(F.col("t"))).alias("indented"))
+
+
+@query("""SELECT event_id, 'id:        ' || event_id || chr(10) || CASE WHEN coalesce(props, '') = '' THEN 'props:' ELSE 'props:     ' || props END || chr(10) || 'user name: u' || user_id || chr(10) || 'none:' AS listed,
+'=== Event ' || event_id || chr(10) || '    id: ' || event_id AS headed FROM events""")
+def text_property_list(spark, sf_dir):
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    id_, user = F.col("event_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    pairs = F.array(pair("id", id_), pair("props", F.col("props")), pair("user name", user), pair("none", F.lit(None)))
+    headed = header_and_body(F.concat(F.lit("Event "), id_.cast("string")), F.array(pair("id", id_)))
+    return events(spark, sf_dir).select("event_id", property_list(pairs).alias("listed"), headed.alias("headed"))
+
+
+@query("SELECT user_id, ((epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000) // 1000)::BIGINT AS seconds, 'user ' || user_id || ' sent ' || count(*) || ' events' AS text FROM events GROUP BY user_id")
+def elapsed_and_messages(spark, sf_dir):
+    per = events(spark, sf_dir).groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    return per.select("user_id", elapsed_seconds(F.col("first"), F.col("last")).alias("seconds"), message("user %d sent %d events", F.col("user_id"), F.col("n")).alias("text"))
+
+
+@query("SELECT event_id, event_type AS event, (epoch_us(ts) // 1000)::VARCHAR AS timestamp, 'u' || user_id AS sender, 4 AS n_keys FROM events")
+def telemetry_events(spark, sf_dir):
+    """The event's own data, then its name, time and id, which win over data of the same key."""
+    data = F.create_map(F.lit("sender"), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("event"), F.lit("theirs"))
+    sent = ev.telemetry(events(spark, sf_dir).select("event_id", "ts", F.col("event_type").alias("event"), data.alias("data")))
+    return sent.select("event_id", *(F.col("data")[k].alias(k) for k in ("event", "timestamp", "sender")), F.size("data").alias("n_keys"))
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT event_type AS source FROM events WHERE event_type <> 'error' UNION ALL SELECT 'Core' FROM events WHERE event_type = 'error') GROUP BY source")
+def log_sources(spark, sf_dir):
+    """The core's and the engines' events in one log."""
+    e = events(spark, sf_dir).select("ts", F.col("event_type").alias("engine"), F.col("props").alias("message"))
+    both = ev.engine_events(e.where("engine <> 'error'")).unionByName(ev.core_events(e.where("engine = 'error'").drop("engine")))
+    return both.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, NULL, 'no place'), (2::BIGINT, 'a.ts:3:4', 'whole'), (3::BIGINT, NULL, 'no line')) AS t(num, location, message)")
+def table_missing_places(spark, sf_dir):
+    """A location without a file, a line or a column is null in the table."""
+    at = lambda file, line, column: [(file, line, column, None, None, None)] if file else []
+    rows = [(0, "e", "r", "no place", at(None, None, None), 0, []), (1, "e", "r", "whole", at("/w/a.ts", 3, 4), 0, []), (2, "e", "r", "no line", at("/w/b.ts", None, None), 0, [])]
+    return results.table(spark.createDataFrame(rows, VIOLATIONS).withColumn("severity", F.lit(2)), collation=None).select("num", "location", "message")
+
+
 QUERIES = {n: f for n, (f, _) in _ALL.items()}
 ORACLE = {n: sql for n, (_, sql) in _ALL.items()}
 
