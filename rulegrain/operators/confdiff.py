@@ -79,6 +79,7 @@ def yaml_text(top: list[dict], rules: list[dict], engines: list[str], fields: li
     out += ["", "# Changes of rules", "rules:" if engines else "rules: {}  # No rules are selected"]
     for e in engines:
         mine = [r for r in rules if r["engine"] == e]
+        out += ["", f"  # {e.upper()}: changes of rules"]
         out.append(f"  {e}:" if mine else f"  {e}: {{}}  # Remove this empty object to change rules of this engine")
         for r in mine:
             out.append(f"    {json.dumps(r['rule'])}:")
@@ -88,6 +89,7 @@ def yaml_text(top: list[dict], rules: list[dict], engines: list[str], fields: li
     out += ["", "# Settings of engines", "engines:" if engines else "engines: {}  # No engines are selected"]
     for e in engines:
         mine = [f for f in fields if f["engine"] == e]
+        out += ["", f"  # {e.upper()}: settings"]
         out.append(f"  {e}:" if mine else f"  {e}: {{}}")
         for f in mine:
             out += entry(f, "    ")

@@ -15,7 +15,7 @@ from rulegrain.schema import DEFAULT_TAG, FIELDS, parse_severity
 from rulegrain.sources import config as conf
 from rulegrain.sources import workspace as ws
 from rulegrain.sources.engines import RegexEngine, Registry
-from rulegrain.streaming.events import engine_execution, engine_selection
+from rulegrain.streaming.events import CORE, engine_execution, engine_selection
 
 VIEWS = ("table", "detail")
 
@@ -35,14 +35,25 @@ class RunResult:
     lines: list[str]
     gate: summary.Gate
     telemetry: dict = field(default_factory=dict)
+    log: str | None = None  # the log file, where the configuration has a log_folder
 
 
-def registry_for(config: conf.Config, registry: Registry | None) -> Registry:
-    """The given engines and the configured regex rules, less disabled engines."""
+def registry_for(config: conf.Config, registry: Registry | None, failed: dict | None = None) -> Registry:
+    """The given engines and the configured regex rules, less disabled engines.
+
+    failed: takes the error of an engine whose configuration is wrong; that
+    engine is left out. Without it the error is raised.
+    """
     out = Registry(list(registry.engines) if registry else [])
     custom = (config.engines.get("regex") or {}).get("custom_rules")
     if custom:
-        mine = RegexEngine.from_config(custom)
+        try:
+            mine = RegexEngine.from_config(custom)
+        except ValueError as e:
+            if failed is None:
+                raise
+            failed[RegexEngine.name] = str(e)
+            return out.without([*config.disabled(), RegexEngine.name])
         old = next((e for e in out.engines if e.name == mine.name), None)
         if old is not None:
             out.engines[out.engines.index(old)] = RegexEngine([*old.rules, *mine.rules], old.name)
@@ -81,15 +92,27 @@ def run(
     threshold = None if severity_threshold is None else parse_severity(severity_threshold)
     config = conf.load(config_file)
     engines = registry_for(config, registry)
-    scanned = _files(spark, workspace, target, files, scan=True)
-    chosen = selector.select(catalog.overridden(engines.catalogue(spark, scanned), conf.overrides(spark, config)), rule_selector)
-    violations = results.enriched(engines.run(chosen, scanned), chosen).cache()  # several actions read them
     names = engines.names(spark)
-    sent = {"engine_selection": engine_selection(chosen, names), "engine_execution": engine_execution(violations, chosen, names)}
+    log = sinks.RunLog(config.log_folder, config.log_level)
+    try:
+        scanned = _files(spark, workspace, target, files, scan=True)
+        chosen = selector.select(catalog.overridden(engines.catalogue(spark, scanned), conf.overrides(spark, config)), rule_selector)
+        violations = results.enriched(engines.run(chosen, scanned), chosen).cache()  # several actions read them
+        sent = {"engine_selection": engine_selection(chosen, names), "engine_execution": engine_execution(violations, chosen, names)}
+        if config.log_folder:
+            for r in sent["engine_selection"].orderBy("engine").collect():
+                log.say(4, r.engine, f"{r.rule_count} rules selected")
+            for r in sent["engine_execution"].orderBy("engine").collect():
+                log.say(3, r.engine, f"{r.violation_count} violations found")
+    except Exception as e:
+        log.say(1, CORE, str(e))
+        raise
+    finally:  # the log ends before results are written or shown
+        logged = log.close(spark)
     for write in writers:
         write(violations)
     shown = {"table": results.table, "detail": results.details}[view](violations).orderBy("num") if view else None
-    return RunResult(violations, chosen, shown, summary.results_lines(violations, output), summary.gate(violations, threshold), sent)
+    return RunResult(violations, chosen, shown, summary.results_lines(violations, output), summary.gate(violations, threshold), sent, logged)
 
 
 @dataclass
@@ -127,11 +150,20 @@ def config(
     spark: SparkSession, rule_selector: str | list[str] = "all", config_file: str | None = None, output_file: str | None = None, include_unmodified_rules: bool = False,
     registry: Registry | None = None, files: DataFrame | None = None, overwrite=lambda path: True,
 ) -> str:
-    """The user's configuration against the defaults as YAML; returned, and written where asked."""
+    """The user's configuration against the defaults as YAML; returned, and written where asked.
+
+    An engine whose configuration is wrong is logged, and shown with the user's own values.
+    """
     if output_file and not output_file.lower().endswith((".yaml", ".yml")):
         raise ValueError(f"{output_file!r}: a configuration is written as .yaml or .yml")
     user = conf.load(config_file)
-    mine, default = registry_for(user, registry), registry_for(user.only_disabling(), registry)
+    failed: dict[str, str] = {}
+    mine, default = registry_for(user, registry, failed), registry_for(user.only_disabling(), registry)
+    if failed:
+        log = sinks.RunLog(user.log_folder, user.log_level)
+        for engine, error in failed.items():
+            log.say(1, engine, error)
+        log.close(spark)
     effective = selector.select(catalog.overridden(mine.catalogue(spark, files), conf.overrides(spark, user)), rule_selector)
     every = default.catalogue(spark, files)
     names = (registry_for(conf.Config(engines={}), registry)).names(spark)

@@ -11,12 +11,14 @@ import html
 import json
 import os
 from collections.abc import Callable, Iterable
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulegrain.operators.results import ordered, primary
-from rulegrain.schema import severity_label
+from rulegrain.schema import LOG_EVENTS, severity_label
+from rulegrain.streaming.events import log_file
 
 #: Longest first: .sarif.json is SARIF.
 FORMATS = ((".sarif.json", "sarif"), (".sarif", "sarif"), (".csv", "csv"), (".html", "html"), (".htm", "html"), (".json", "json"), (".xml", "xml"), (".parquet", "parquet"))
@@ -135,3 +137,31 @@ def write_config(text: str, path: str, overwrite: Callable[[str], bool] = lambda
 
 def log_name(stamp: str) -> str:
     return f"rulegrain-{stamp}.log"
+
+
+LOG_END = "End of the log."
+
+
+class RunLog:
+    """The log of one run: its events up to the configured level, then a last line, in a file of log_folder.
+
+    A run has a handful of events, so they are kept until close(). Without a
+    folder nothing is written.
+    """
+
+    def __init__(self, folder: str | None, level: int):
+        self.folder, self.level, self.events = folder, level, []
+
+    def say(self, level: int, source: str, message: str) -> None:
+        self.events.append((datetime.now(timezone.utc), source, level, message))
+
+    def close(self, spark: SparkSession) -> str | None:
+        """The file's path; None where no folder is set."""
+        if not self.folder:
+            return None
+        lines = log_file(spark.createDataFrame(self.events, LOG_EVENTS), self.level).orderBy("ts") if self.events else None
+        path = os.path.join(self.folder, log_name(datetime.now(timezone.utc).strftime("%Y_%m_%d_%H_%M_%S_%f")[:-3]))
+        with open(path, "w", encoding="utf-8") as f:
+            f.writelines(f"{r.text}\n" for r in (lines.collect() if lines else ()))
+            f.write(LOG_END + "\n")
+        return path

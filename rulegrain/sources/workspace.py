@@ -43,11 +43,52 @@ def resolve(workspace: list[str] | None, target: list[str] | None, scan: bool) -
     return workspace, target or None
 
 
+def tops(paths: list[str]) -> list[str]:
+    """The paths less those at or under another, so that no file is read twice; local ones are absolute."""
+    whole = dict.fromkeys(p.rstrip("/") if "://" in p else os.path.abspath(p) for p in paths)
+    above = lambda p: (p[:k] or "/" for k, c in enumerate(p) if c == "/")
+    return [p for p in whole if not any(up in whole for up in above(p) if up != p)]
+
+
+def unlisted(paths: list[str]) -> list[str]:
+    """Files under local paths that Spark's listing leaves out: those named, or in a folder named, `.x` or `_x`."""
+
+    def hidden(name: str) -> bool:
+        return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+
+    out = []
+    for top in paths:
+        if os.path.isfile(top):
+            out += [top] if hidden(os.path.basename(top)) else []
+            continue
+        for folder, _, names in os.walk(top):
+            inside = folder != top and any(map(hidden, os.path.relpath(folder, top).split(os.sep)))
+            out += [os.path.join(folder, n) for n in names if inside or hidden(n)]
+    return sorted(out)
+
+
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, ext, content of all files under the paths; Spark lists and reads them."""
+    """file, ext, content of all files under the paths; Spark lists and reads them.
+
+    What Spark's listing leaves out is read by the tasks themselves, from local
+    paths only: those have to be mounted on the executors.
+    """
+    paths = tops(paths)
     read = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
-    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    return read.select(file.alias("file"), F.col("value").alias("content")).withColumn("ext", extension(F.col("file"))).select("file", "ext", "content").distinct()
+    # a path comes as a URI: %20 is a space, but + is itself
+    file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    found = read.select(file.alias("file"), F.col("value").alias("content"))
+    if rest := unlisted([p for p in paths if "://" not in p]):
+
+        def opened(batches):
+            for batch in batches:
+                for k, path in enumerate(batch["file"]):
+                    with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                        yield batch.iloc[[k]].assign(content=f.read())
+
+        names = spark.createDataFrame([(p,) for p in rest], "file string").repartition(min(len(rest), spark.sparkContext.defaultParallelism))
+        found = found.unionByName(names.mapInPandas(opened, "file string, content string"))
+    return found.withColumn("ext", extension(F.col("file"))).select("file", "ext", "content")
 
 
 def from_documents(docs: DataFrame) -> DataFrame:

@@ -158,3 +158,39 @@ def test_messages_and_documented_rules(spark, tmp_path):
     (docs / "MyRule.md").write_text("MyRule\n===\nViolation\n\nText\n\nPriority\n\nMedium (3)\n")
     row = engines.documented(spark, str(docs)).first()
     assert (row.page, row.rule, row.severity) == ("MyRule.md", "MyRule", 3)
+
+
+def test_scan_reads_every_file_once_by_its_own_name(spark, tmp_path):
+    (tmp_path / "in/.deep/_er").mkdir(parents=True)
+    names = ["a b.ts", "c+d.ts", "e%20f.ts", ".dot.ts", "_und.ts", ".deep/x.ts", ".deep/_er/y.ts"]
+    for n in names:
+        (tmp_path / "in" / n).write_text(f"{n}\r\nend")
+    want = sorted((str(tmp_path / "in" / n), "ts", f"{n}\r\nend") for n in names)
+    got = workspace.scan(spark, [str(tmp_path / "in"), str(tmp_path / "in/a b.ts"), str(tmp_path / "in/.deep")])
+    assert sorted(map(tuple, got.collect())) == want
+    assert [r.file for r in workspace.scan(spark, [str(tmp_path / "in/.dot.ts"), str(tmp_path / "in/c+d.ts")]).orderBy("file").collect()] == [str(tmp_path / "in/.dot.ts"), str(tmp_path / "in/c+d.ts")]
+    assert workspace.tops(["/a/b", "/a", "/ab", "/a/b/c", "s3://x/y/", "s3://x/y/z"]) == ["/a", "/ab", "s3://x/y"]
+
+
+def test_run_writes_its_log(spark, project, tmp_path):
+    src, conf = project
+    (tmp_path / "logs").mkdir()
+    raw = json.loads(conf.read_text()) | {"log_folder": str(tmp_path / "logs"), "log_level": "info"}
+    conf.write_text(json.dumps(raw))
+    got = api.run(spark, [str(src)], config_file=str(conf))
+    lines = open(got.log).read().splitlines()
+    assert len(lines) == 2 and lines[0].endswith("INFO regex - 2 violations found") and lines[1] == sinks.LOG_END
+    with pytest.raises(ValueError, match="outside"):
+        api.run(spark, [str(src)], target=["/nowhere/x"], config_file=str(conf))
+    assert any("ERROR Core - targets outside" in open(f).read() for f in glob.glob(f"{tmp_path}/logs/*.log"))
+
+
+def test_config_goes_on_with_a_wrong_engine(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    conf = tmp_path / "c.json"
+    conf.write_text(json.dumps({"log_folder": str(tmp_path / "logs"), "engines": {"regex": {"custom_rules": {"Bad": {"regex": "no literal"}}}}}))
+    assert "log_folder:" in api.config(spark, config_file=str(conf), registry=REGISTRY)
+    (log,) = glob.glob(f"{tmp_path}/logs/*.log")
+    assert "ERROR regex - 'no literal' is no /pattern/flags" in open(log).read()
+    with pytest.raises(ValueError):
+        api.run(spark, ["."], config_file=str(conf))
