@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 3
+#: Attributes up to the tag's end: a quote opens a value only after `=`, so one in a bare value or name is a character.
+ATTRS = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
-    r"|<(?P<raw>title|script|style|noscript|template|svg|math|iframe|object|select|textarea|button|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"|<(?:svg|math)\b{ATTRS}(?<=/)>"
+    rf"|<(?P<raw>title|script|style|noscript|template|svg|math|iframe|object|select|textarea|button|canvas|audio|video)\b{ATTRS}(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRS})(?:>|\Z)",
     re.S | re.I,
 )
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -51,7 +53,8 @@ FURNITURE = re.compile(
 #: Class names that say what a block has beside it, and marks that hold also where the block is most of the page.
 BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|show|hide)-\S+", re.I)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|ads?|adverts?|advertisement)(?=$|[\s_-])", re.I)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Every attribute in turn, so that words inside a value are never taken for names.
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 
 
 def _is_furniture(tag: str, attrs: str, inside_article: bool) -> int:

@@ -56,3 +56,12 @@ def test_articles_in_blocks_named_for_furniture_are_kept():
     assert lineblock.main_text(f'<article><p>{LONG}</p></article><div class="comments"><p>{LONG * 3}</p></div>') == LONG
     assert lineblock.main_text(f"<html><head><title>T</title><body><p>{LONG}</p>") == LONG
     assert lineblock.main_text(f'<p>{LONG}</p><svg width="1"/><p>b</p><math/><p>c</p><svg><text>x</text></svg>') == f"{LONG}\n\nb\n\nc"
+
+
+def test_quotes_and_names_in_attributes():
+    for open_ in ("<p title=don't>", '<p title="a > b">', '<p data-x=5" wide>', '<p title="The hidden menu">', "<p data-hidden=no data-id='menu'>"):
+        assert lineblock.main_text(f"<article><h1>Title</h1>{open_}{LONG}</p><p>It's \"{LONG}\"</p></article>") == f'Title\n\n{LONG}\n\nIt\'s "{LONG}"', open_
+    for open_ in ("<p hidden>", "<p aria-hidden = 'TRUE'>", '<p STYLE="display: none">', "<p Class=menu>"):
+        assert lineblock.main_text(f"<article><p>{LONG}</p>{open_}x</p></article>") == LONG, open_
+    assert lineblock.main_text(f"<p>{LONG}</p><svg a='/>' b=\"c\"/><p>in</p>") == f"{LONG}\n\nin"
+    assert lineblock.main_text("<svg " + "a='b' " * 20_000) == lineblock.main_text("<p " + 'a="b' * 20_000) == ""
