@@ -11,8 +11,10 @@ The model is fitted on a bounded sample: the `max_rows` labelled rows lowest in
 a hash of their id. Scores use the text alone.
 
 Defined results: null text is the empty text, whose score is the bias's;
-rows with a null label are not learnt from; repeated rows count each; without
-labelled rows every score is 0.5; extra columns are ignored.
+rows with a null label are not learnt from; repeated rows count each, those of
+one id in order of text and label; a null id is scored, but has no label;
+without labelled rows every score is 0.5; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,14 +95,14 @@ def sample(labels: DataFrame, id_col: str, max_rows: int) -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> dict[int, float]:
-    """Sparse weights by coordinate. The sample is learnt by one task, in order of ids, EPOCHS times.
+    """Sparse weights by coordinate. The sample is learnt by one task, in order of ids, texts and labels, EPOCHS times.
 
     The sampled labels are broadcast (max_rows of them), so texts without a
     sampled label are never shuffled.
     """
     chosen = sample(labels.where(F.col(label).isNotNull()).select(id_col, F.col(label).cast("double").alias("label")), id_col, max_rows)
     rows = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
-    rows = rows.repartition(1).sortWithinPartitions(id_col).select("text", "label")
+    rows = rows.repartition(1).sortWithinPartitions(id_col, "text", "label").select("text", "label")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

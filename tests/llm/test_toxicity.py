@@ -26,3 +26,13 @@ def test_no_labels_and_empty_table(spark):
     assert toxicity.fitted(df, df) == {} and toxicity.scored(df, {}).count() == 0
     one = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert toxicity.scored(one, {}).first().score == 0.5
+
+
+def test_ties_nulls_and_clashing_names(spark):
+    rows = [(i % 50 if i else None, ("you idiot" if i % 2 else "hello there") + f" {i % 7}", i % 2, 9) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score int")
+    labels = df.select("doc_id", "toxic").distinct()
+    one, other = (toxicity.fitted(d.drop("toxic"), labels) for d in (df.repartition(1), df.orderBy(df.text.desc()).repartition(5)))
+    assert one == other
+    got = toxicity.scored(df, one)
+    assert got.columns == ["doc_id", "score"] and got.count() == 200 and got.where("doc_id is null and score between 0 and 1").count() == 1
