@@ -76,11 +76,17 @@ def finished(latest: DataFrame) -> DataFrame:
     return latest.agg(F.count_if(F.col("percent") == 100).alias("n_finished"), F.count("*").alias("n_engines"), F.coalesce(F.bool_and(F.col("percent") == 100), F.lit(False)).alias("done"))
 
 
-def tracked_selection(events: DataFrame, n_cores: int) -> DataFrame:
-    """A stream of (percent, done), one row for each event, until all cores are done; later events say nothing.
+def _by_run(events: DataFrame, run: str | None, *columns: str) -> DataFrame:
+    """events with the key `run`: the column of that name; null where all are one run's."""
+    return events.select(*columns, (F.col(run) if run else F.lit(None)).cast("string").alias("run"))
 
-    events: streaming, core_idx and percent in order of `seq` within a trigger.
-    State: one percent for each core.
+
+def tracked_selection(events: DataFrame, n_cores: int, run: str | None = None) -> DataFrame:
+    """A stream of (run, percent, done), one row for each event, until all cores of a run are done; later events say nothing.
+
+    events: streaming, core_idx and percent in order of `seq` within a trigger;
+    run: the column that names an event's run, where the stream has several.
+    State, for each run apart: one percent for each core.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -92,17 +98,16 @@ def tracked_selection(events: DataFrame, n_cores: int) -> DataFrame:
             percents[row.core_idx] = int(row.percent // 1)
             out.append((sum(percents) // n_cores, all(p == 100 for p in percents)))
         state.update((percents,))
-        yield pd.DataFrame(out, columns=["percent", "done"])
+        yield pd.DataFrame([(*key, *o) for o in out], columns=["run", "percent", "done"])
 
-    keyed = events.select("seq", "core_idx", "percent").withColumn("run", F.lit(0))
-    return keyed.groupBy("run").applyInPandasWithState(step, "percent int, done boolean", "percents array<int>", "append", GroupStateTimeout.NoTimeout)
+    return _by_run(events, run, "seq", "core_idx", "percent").groupBy("run").applyInPandasWithState(step, "run string, percent int, done boolean", "percents array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-def tracked_run(events: DataFrame) -> DataFrame:
-    """A stream of (engine, percent, message, n_finished, n_engines), one row for each event.
+def tracked_run(events: DataFrame, run: str | None = None) -> DataFrame:
+    """A stream of (run, engine, percent, message, n_finished, n_engines), one row for each event.
 
     The last event of an engine counts; engines keep the order in which they
-    came. State: one row for each engine.
+    came. run: as above. State, for each run apart: one row for each engine.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -112,10 +117,9 @@ def tracked_run(events: DataFrame) -> DataFrame:
             seen[row.engine] = float(row.percent)
             out.append((row.engine, float(row.percent), row.message, sum(p == 100 for p in seen.values()), len(seen)))
         state.update((list(seen), list(seen.values())))
-        yield pd.DataFrame(out, columns=["engine", "percent", "message", "n_finished", "n_engines"])
+        yield pd.DataFrame([(*key, *o) for o in out], columns=["run", "engine", "percent", "message", "n_finished", "n_engines"])
 
-    keyed = events.select("seq", "engine", "percent", "message").withColumn("run", F.lit(0))
-    return keyed.groupBy("run").applyInPandasWithState(step, "engine string, percent double, message string, n_finished int, n_engines int", "engines array<string>, percents array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _by_run(events, run, "seq", "engine", "percent", "message").groupBy("run").applyInPandasWithState(step, "run string, engine string, percent double, message string, n_finished int, n_engines int", "engines array<string>, percents array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_log(lines: DataFrame, folder: str, checkpoint: str, every: str | None = None):

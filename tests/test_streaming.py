@@ -38,6 +38,19 @@ def test_run_progress_keeps_the_last_word(spark, tmp_path):
     assert ev.finished(ev.latest_run_progress(batch)).first().done is True
 
 
+def test_runs_keep_their_own_state(spark, tmp_path):
+    rows = [("r1", 0, "a", 100.0), ("r2", 1, "a", 20.0), ("r1", 2, "b", 0.0), ("r2", 3, "a", 100.0)]
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, "job string, seq long, engine string, percent double").withColumn("message", F.lit("m")).write.mode("append").parquet(str(tmp_path / "runs"))
+    stream = ev.tracked_run(spark.readStream.schema("job string, seq long, engine string, percent double, message string").parquet(str(tmp_path / "runs")), "job")
+    got = {(r.run, r.engine, r.percent, r.n_finished, r.n_engines) for r in drained(stream, "runs", tmp_path)}
+    assert got == {("r1", "a", 100.0, 1, 1), ("r1", "b", 0.0, 1, 2), ("r2", "a", 20.0, 0, 1), ("r2", "a", 100.0, 1, 1)}
+    cores = spark.readStream.schema("job string, seq long, engine string, percent double").parquet(str(tmp_path / "runs")).withColumn("core_idx", F.when(F.col("engine") == "a", 0).otherwise(1))
+    stream = ev.tracked_selection(cores, 2, "job")
+    got = {(r.run, r.percent, r.done) for r in drained(stream, "cores", tmp_path / "more")}
+    assert got == {("r1", 50, False), ("r2", 10, False), ("r2", 50, False)}
+
+
 def test_log_streams(spark, tmp_path):
     ts = F.to_timestamp(F.lit("2025-02-20 14:30:18.014"))
     rows = spark.createDataFrame([(None, "Core", n, f"m{n}") for n in range(1, 6)], LOG_EVENTS).withColumn("ts", ts)
