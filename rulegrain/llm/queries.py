@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import bpe, brown, chaining, chat, exact, ledger, lineblock, partenum, raking, toxicity
+from rulegrain.llm import ballcode, bpe, brown, chaining, chat, exact, ledger, lineblock, partenum, periodic, raking, toxicity
 from rulegrain.llm.common import table
 
 
@@ -79,7 +79,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_groups(table(spark, sf_dir, "documents"), n=4, p=85, q=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_class_ngram_scoring, op2_source_mixing, op3_quality_rules, op4_substring_dedup, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every text, with periods put into one text in ten."""
+    found = periodic.detected(periodic.with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    out = found.withColumn("top", longest)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), (-F.col("top.less")).alias("length"), F.col("top.period").alias("period"),
+        F.floor(-1000 * F.col("top.less") / F.col("top.period")).cast("long").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, codebooks = ballcode.compressed(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", ballcode.hex_code(F.col("entries")).alias("code"), "error", "label_error", F.lit(codebooks.sha256()).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_class_ngram_scoring, op2_source_mixing, op3_quality_rules, op4_substring_dedup, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join, op12_periodic_runs, op13_vector_codes)}
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 OP3_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
@@ -105,4 +122,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(k)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
-ORACLE: dict[str, str] = {"op2_source_mixing": raking.oracle(), "op3_quality_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLE: dict[str, str] = {"op2_source_mixing": raking.oracle(), "op3_quality_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op13_vector_codes": ballcode.oracle()}
