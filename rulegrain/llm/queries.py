@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import ballcode, bpe, brown, chaining, chat, exact, ledger, lineblock, partenum, periodic, raking, toxicity
+from rulegrain.llm import ballcode, bpe, brown, chaining, chat, exact, ledger, lineblock, multiprobe, partenum, periodic, raking, toxicity
 from rulegrain.llm.common import table
 
 
@@ -79,6 +79,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_groups(table(spark, sf_dir, "documents"), n=4, p=85, q=100)
 
 
+def op11_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of every text, with periods put into one text in ten."""
     found = periodic.detected(periodic.with_repeats(table(spark, sf_dir, "documents")))
@@ -96,7 +100,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("vec_id", ballcode.hex_code(F.col("entries")).alias("code"), "error", "label_error", F.lit(codebooks.sha256()).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_ngram_scoring, op2_source_mixing, op3_quality_rules, op4_substring_dedup, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join, op12_periodic_runs, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_class_ngram_scoring, op2_source_mixing, op3_quality_rules, op4_substring_dedup, op5_bpe, op6_html_extraction, op7_toxicity, op8_exact_dedup, op9_chat_formatting, op10_ngram_jaccard_join, op11_vector_neighbours, op12_periodic_runs, op13_vector_codes)}
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 OP3_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
