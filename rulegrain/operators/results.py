@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,24 +43,24 @@ def most_severe(violations: DataFrame, n: int, collation: str | None = "UNICODE"
 
 
 def numbered(violations: DataFrame, collation: str | None = "UNICODE") -> DataFrame:
-    """`num` from 1 in order, without gathering the rows in one task.
+    """`num` from 1 in order, without gathering the rows, or those of a severity or file, in one task.
 
-    Rows are numbered within their severity and file by a window, and those
-    groups' offsets by a window over group counts (as many as files).
+    Rows are dealt by ranges of the whole sort key, so many rows with one
+    severity, file or place still spread; each partition is sorted and numbered for
+    itself, and what stands before it is the sum of the other partitions' counts: one
+    number for each partition passes the driver. The ordered rows are kept (in memory
+    or on disk, made again where lost), so that counting and reading see the same.
     """
-    at = primary()
-    keyed = violations.withColumns({"__file": F.coalesce(at["file"], F.lit("")), "__line": F.coalesce(at["start_line"], F.lit(0)), "__column": F.coalesce(at["start_column"], F.lit(0))})
-    within = Window.partitionBy("severity", "__file").orderBy("__line", "__column", "violation_ord")
-    keyed = keyed.withColumn("__nth", F.row_number().over(within))
-    file = F.collate("__file", collation) if collation else F.col("__file")
-    before = Window.partitionBy("severity").orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    groups = violations.groupBy("severity", F.coalesce(at["file"], F.lit("")).alias("__file")).agg(F.count("*").alias("__n"))
-    groups = groups.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    levels = groups.groupBy("severity").agg(F.sum("__n").alias("__n"))
-    # one row for each severity, five at most
-    above = levels.select("severity", F.coalesce(F.sum("__n").over(Window.orderBy("severity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
-    out = keyed.join(groups.select("severity", "__file", "__before"), ["severity", "__file"]).join(above, "severity")
-    return out.withColumn("num", (F.col("__above") + F.col("__before") + F.col("__nth")).cast("long")).drop("__file", "__line", "__column", "__nth", "__before", "__above")
+    spark = violations.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = sort_columns(collation)
+    ranged = violations.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    # in a partition this id counts from 0; its upper bits tell the partition
+    kept = ranged.withColumn("__id", F.monotonically_increasing_id()).persist()
+    part, nth = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = {r.part: r.n for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=0) + 1))]
+    return kept.withColumn("num", F.get(F.lit(before).cast("array<bigint>"), part) + nth + 1).drop("__id")
 
 
 def location_text(at: Column, run_dir: Column | None = None) -> Column:
@@ -98,11 +100,12 @@ def table(violations: DataFrame, collation: str | None = "UNICODE") -> DataFrame
 
     A location without line or column has none in the text's place: null, not the word.
     """
-    folder = violations.agg(common_parent(primary()["file"]).alias("__folder"))
+    rows = numbered(violations, collation)
+    folder = rows.agg(common_parent(primary()["file"]).alias("__folder"))  # of the kept rows: nothing is computed again
     at = primary()
     short = F.when(F.col("__folder").isin("", "/"), at["file"]).otherwise(without_prefix(at["file"], F.concat("__folder", F.lit("/"))))
     line = F.concat_ws(":", short, at["start_line"], at["start_column"])
-    return numbered(violations, collation).join(F.broadcast(folder)).select("num", severity_label(F.col("severity")).alias("severity"), F.concat("engine", F.lit(":"), "rule").alias("rule"), F.when(at["start_line"].isNotNull() & at["start_column"].isNotNull(), line).alias("location"), "message")
+    return rows.join(F.broadcast(folder)).select("num", severity_label(F.col("severity")).alias("severity"), F.concat("engine", F.lit(":"), "rule").alias("rule"), F.when(at["start_line"].isNotNull() & at["start_column"].isNotNull(), line).alias("location"), "message")
 
 
 def rule_details(rules: DataFrame) -> DataFrame:

@@ -33,7 +33,9 @@ def token(text: str) -> Column:
 
 
 def predicate(selectors: str | Iterable[str] = DEFAULT_TAG) -> Column:
-    alternatives = [reduce(lambda a, b: a & b, [token(t) for t in s.split(":") if t.strip()], F.lit(True)) for s in flat(selectors)]
+    # an intersection of no tokens, such as `:`, names nothing
+    tokens = [[token(t) for t in s.split(":") if t.strip()] for s in flat(selectors)]
+    alternatives = [reduce(lambda a, b: a & b, ts) for ts in tokens if ts]
     return F.coalesce(reduce(lambda a, b: a | b, alternatives, F.lit(False)), F.lit(False))
 
 

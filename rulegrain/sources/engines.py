@@ -1,16 +1,28 @@
-"""Engines: providers of rules and of violations; the regex engine."""
+"""Engines: providers of rules and of violations; the regex engine.
+
+Regex rules of all engines run in one pass over the files. A literal index (one
+Aho-Corasick automaton over the substrings that the patterns require) reads each
+file once, whatever the number of rules, and hands on lines with the rules that
+may match there; only those lines meet a regular expression.
+"""
 
 from __future__ import annotations
 
 import importlib
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from rulegrain.schema import DEFAULT_TAG, RULES, VIOLATIONS, parse_severity
+from rulegrain.sources.factors import required
 
 
 class Engine(Protocol):
@@ -77,42 +89,155 @@ class RegexEngine:
         return [("custom_rules", "Rules by pattern: name to regex, file_extensions, description, severity and tags.", "object", "{}")]
 
     def run(self, rules: list, files: DataFrame) -> DataFrame:
-        """No join: the selected rules are literals, each a predicate over the file, then over its lines.
+        wanted = set(rules)
+        return matched([(self.name, r) for r in self.rules if r.name in wanted], files)
 
-        Extensions and a test of the whole content come before lines are made, so
-        files without a match cost one pass and are never split. Patterns that can tell
-        a line's end from a line break are not tested on the whole content.
-        """
-        mine = [r for r in self.rules if r.name in set(rules)]
-        spark = files.sparkSession
-        if not mine:
-            return spark.createDataFrame([], VIOLATIONS).drop("violation_ord")
-
-        def here(r: RegexRule):
-            hit = F.lit(True) if LINE_ONLY.search(r.pattern) else F.col("content").rlike(f"(?m){r.pattern}")
-            return (F.col("ext").isin(*r.extensions) & hit) if r.extensions else hit
-
-        flags = files.withColumn("__on", F.array(*[here(r) for r in mine])).where(F.exists("__on", lambda x: x))
-        lines = flags.select("file", "__on", F.posexplode(F.split("content", "\n")).alias("__at", "__line"))
-
-        def found(k: int, r: RegexRule):
-            """The line's matches (rule, message, column, length); what lies between them tells where they are."""
-            matches = F.regexp_extract_all("__line", F.lit(f"({r.pattern})"), F.lit(1))
-            between = F.split("__line", r.pattern, -1)
-            between = F.when(F.size(between) == F.size(matches), F.concat(F.array(F.lit("")), between)).otherwise(between)  # an empty match at the start
-            all_before = lambda x, n: F.length(F.array_join(F.slice(x, F.lit(1), n), ""))
-            place = lambda i: F.struct(F.lit(r.name).alias("rule"), F.lit(r.message or r.description or r.name).alias("message"), (all_before(between, i) + all_before(matches, i - 1) + 1).alias("column"), F.length(F.get(matches, i - 1)).alias("length"))
-            last = F.size(matches) if r.every else F.lit(1)
-            none = F.expr("cast(array() as array<struct<rule:string,message:string,column:int,length:int>>)")
-            return F.when(F.get("__on", F.lit(k)) & F.col("__line").rlike(r.pattern), F.transform(F.sequence(F.lit(1), last), place)).otherwise(none)
-
-        hits = lines.withColumn("__hits", F.flatten(F.array(*[found(k, r) for k, r in enumerate(mine)]))).where(F.size("__hits") > 0)
-        hit = hits.select("file", "__at", F.explode("__hits").alias("h"))
-        place = F.struct(
-            F.col("file").alias("file"), (F.col("__at") + 1).cast("int").alias("start_line"), F.col("h.column").cast("int").alias("start_column"),
-            (F.col("__at") + 1).cast("int").alias("end_line"), (F.col("h.column") + F.col("h.length")).cast("int").alias("end_column"), F.lit(None).cast("string").alias("comment"),
-        )
-        return hit.select(F.lit(self.name).alias("engine"), F.col("h.rule").alias("rule"), F.col("h.message").alias("message"), F.array(place).alias("code_locations"), F.lit(0).alias("primary_location_index"), F.array().cast("array<string>").alias("resource_urls"))
+
+CANDIDATES = "rule int, file string, at int, line string"
+#: Characters of lines that a task holds before it hands them on.
+HELD = 4 << 20
+
+
+class LiteralIndex:
+    """The required literals of many rules, found in one pass over a text.
+
+    rules: (literals or None, extensions) of each. A rule without literals is a candidate
+    on every line of a file that is named for it.
+    """
+
+    def __init__(self, rules: list[tuple[list[str] | None, tuple[str, ...]]]):
+        import ahocorasick
+
+        self.extensions = [frozenset(e) for _, e in rules]
+        by: dict[str, list[int]] = {}
+        for k, (literals, _) in enumerate(rules):
+            for text in literals or ():
+                by.setdefault(text, []).append(k)
+        self.words = ahocorasick.Automaton()
+        for text, ks in by.items():
+            self.words.add_word(text, tuple(ks))
+        if by:
+            self.words.make_automaton()
+
+    def applies(self, rule: int, ext: str) -> bool:
+        return not self.extensions[rule] or ext in self.extensions[rule]
+
+    def candidates(self, content: str, ext: str, everywhere: list[int]) -> list[tuple[int, int, str]]:
+        """(rule, line number from 0, line) in order."""
+        low, hits = content.lower(), set()
+        lines = starts = None
+        for end, ks in self.words.iter(low) if len(self.words) else ():
+            if any(self.applies(k, ext) for k in ks):
+                if starts is None:
+                    starts = [0, *accumulate(len(x) + 1 for x in low.split("\n"))]
+                at = bisect_right(starts, end) - 1
+                hits |= {(k, at) for k in ks if self.applies(k, ext)}
+        if hits or everywhere:
+            lines = content.split("\n")
+            hits |= {(k, at) for k in everywhere for at in range(len(lines))}
+        return [(k, at, lines[at]) for k, at in sorted(hits)]
+
+
+def _candidates(rules: list[tuple[list[str] | None, tuple[str, ...]]]):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index = LiteralIndex(rules)
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            rows.sort(key=lambda r: r[0])  # of one rule after another: its pattern is compiled once
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rule", "file", "at", "line"])
+
+        for batch in batches:
+            rows, size = [], 0
+            for file, ext, content, everywhere in zip(*(batch.column(c).to_pylist() for c in ("file", "ext", "content", "everywhere")), strict=True):
+                for k, at, line in index.candidates(content or "", ext or "", everywhere or []):
+                    rows.append((k, file, at, line))
+                    size += len(line) + 50
+                if size > HELD:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    return run
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def begins(pieces: pd.Series, matches: pd.Series) -> pd.Series:
+    """Where matches begin, from the lengths of the matches and of the pieces that end with them.
+
+    After an empty piece the search goes on one character later; an empty match
+    after other text comes a second time as an empty piece, which doesn't count.
+    """
+    import numpy as np
+
+    def one(long, short):
+        if len(long) == len(short) and (len(short) < 2 or (short > 0).all()):
+            return np.cumsum(long, dtype=np.int32) - short
+        out, at, k = [], 0, 0
+        for size in short.tolist():
+            at += int(long[k])
+            out.append(at - size)
+            if not size:
+                if long[k] and k + 1 < len(long) and not long[k + 1]:
+                    k += 1
+                at += 1
+            k += 1
+        return np.array(out, np.int32)
+
+    return pd.Series([one(long, short) for long, short in zip(pieces, matches, strict=True)], dtype=object)
+
+
+def places(candidates: DataFrame, pattern: Column, every: Column) -> DataFrame:
+    """candidates (with `line`) with column and size (code points, from 1) of each match of the pattern in its line, or of the first.
+
+    Both arrays are extracted once a line. The pattern keeps its own groups, and
+    their numbers: a whole match is group 0, a piece the text from one match's end to
+    the next one's. Pieces are anchored at that end, so what follows the last match is
+    read once; only where an empty match would end the chain of pieces are they free.
+    """
+    lengths = lambda p: F.transform(F.regexp_extract_all("line", p, F.lit(0)), lambda x: F.length(x))
+    found = candidates.withColumn("__sizes", lengths(pattern)).where(F.size("__sizes") > 0)
+    piece = F.concat(F.lit("(?s:.*?)(?:"), pattern, F.lit(")"))
+    found = found.withColumn("__pieces", F.when(F.exists("__sizes", lambda n: n == 0), lengths(piece)).otherwise(lengths(F.concat(F.lit(r"\G"), piece))))
+    found = found.withColumn("__begins", begins("__pieces", "__sizes"))
+    hit = F.arrays_zip(F.col("__begins").alias("begin"), F.col("__sizes").alias("size"))
+    hit = F.when(every, hit).otherwise(F.slice(hit, 1, 1))
+    out = found.select(*candidates.columns, F.explode(hit).alias("__hit"))
+    return out.select(*candidates.columns, (F.col("__hit.begin") + 1).alias("column"), F.col("__hit.size").alias("size"))
+
+
+def as_violations(found: DataFrame, engine: Column, rule: Column, message: Column) -> DataFrame:
+    """Rows (file, at, column, size) as VIOLATIONS without violation_ord."""
+    line = (F.col("at") + 1).cast("int")
+    place = F.struct(F.col("file").alias("file"), line.alias("start_line"), F.col("column").cast("int").alias("start_column"), line.alias("end_line"), (F.col("column") + F.col("size")).cast("int").alias("end_column"), F.lit(None).cast("string").alias("comment"))
+    return found.select(engine.alias("engine"), rule.alias("rule"), message.alias("message"), F.array(place).alias("code_locations"), F.lit(0).alias("primary_location_index"), F.array().cast("array<string>").alias("resource_urls"))
+
+
+def matched(rules: list[tuple[str, RegexRule]], files: DataFrame) -> DataFrame:
+    """Violations of regex rules (engine, rule) of any engines: one scan of the files, no join, no regular expression for each rule and line.
+
+    A rule whose pattern requires no literal is tried on the whole content first,
+    unless it can tell a line's end from a line break, and then on that file's lines.
+    """
+    spark = files.sparkSession
+    if not rules:
+        return spark.createDataFrame([], VIOLATIONS).drop("violation_ord")
+    literals = [required(r.pattern) for _, r in rules]
+
+    def open_(k: int, r: RegexRule) -> Column:
+        hit = F.lit(True) if LINE_ONLY.search(r.pattern) else F.col("content").rlike(f"(?m){r.pattern}")
+        return F.when((F.col("ext").isin(*r.extensions) & hit) if r.extensions else hit, F.lit(k))
+
+    everywhere = [open_(k, r) for k, (_, r) in enumerate(rules) if literals[k] is None]
+    tried = F.array_compact(F.array(*everywhere)) if everywhere else F.array().cast("array<int>")
+    read = files.select("file", "ext", "content", tried.alias("everywhere"))
+    lines = read.mapInArrow(_candidates([(x, r.extensions) for x, (_, r) in zip(literals, rules, strict=True)]), CANDIDATES)
+    of = lambda values: F.get(F.lit(values), F.col("rule"))  # noqa: E731  a list of all rules' values, folded to a literal
+    found = places(lines, of([r.pattern for _, r in rules]), of([r.every for _, r in rules]))
+    return as_violations(found, of([e for e, _ in rules]), of([r.name for _, r in rules]), of([r.message or r.description or r.name for _, r in rules]))
 
 
 @dataclass
@@ -147,16 +272,19 @@ class Registry:
     def run(self, selected: DataFrame, files: DataFrame) -> DataFrame:
         """Violations of all engines with a selected rule, one plan; engines without are left out.
 
+        The regex engines share one scan.
+
         selected: rules (a catalogue's rows: small by nature).
         """
         names: dict[str, list[str]] = {}
         for r in selected.select("engine", "rule").collect():
             names.setdefault(r.engine, []).append(r.rule)
-        parts = [e.run(names[e.name], files) for e in self.engines if e.name in names]
-        spark = files.sparkSession
-        out = spark.createDataFrame([], VIOLATIONS).drop("violation_ord")
-        for p in parts:
-            out = out.unionByName(p)
+        mine = [e for e in self.engines if e.name in names]
+        regex = [(e.name, r) for e in mine if type(e) is RegexEngine for r in e.rules if r.name in set(names[e.name])]
+        out = matched(regex, files)
+        for e in mine:
+            if type(e) is not RegexEngine:
+                out = out.unionByName(e.run(names[e.name], files))
         return out.withColumn("violation_ord", F.monotonically_increasing_id())
 
 

@@ -80,3 +80,20 @@ def test_text_functions(spark):
     assert one(fn.merged(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("a"), F.lit("3")))) == {"a": "3", "b": "2"}
     assert one(fn.message("%s has %d", F.lit("x"), F.lit(2))) == "x has 2"
     assert one(fn.same_value(F.to_json(F.array(F.lit("a"), F.lit("b"))), F.to_json(F.array(F.lit("b"), F.lit("a"))))) is False
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_numbers_of_many_rows_at_one_place(spark, rules, n):
+    """A third of the rows share severity, file and line; every row gets the number of its place in order."""
+    import random
+
+    rng = random.Random(4)
+    spots = [("f", 1, 1) if k % 3 == 0 else (rng.choice("abc") * 3, rng.randrange(9), rng.choice([None, 2])) for k in range(n)]
+    v = spark.createDataFrame([(k, "e", rng.choice("AB"), "m", [loc(*s)], 0, []) for k, s in enumerate(spots)], VIOLATIONS).repartition(5)
+    v = results.enriched(v, rules)
+    got = results.numbered(v, None)
+    rows = sorted(got.collect(), key=lambda r: (r.severity, r.code_locations[0].file, r.code_locations[0].start_line, r.code_locations[0].start_column or 0, r.violation_ord))
+    assert [r.num for r in rows] == list(range(1, n + 1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert got.columns == [*v.columns, "num"]
