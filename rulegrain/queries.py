@@ -14,6 +14,7 @@ from rulegrain.plans import sinks
 from rulegrain.plans.api import view_of
 from rulegrain.schema import FIELDS, OVERRIDES, SEVERITIES, VIOLATIONS, parse_severity, severity_of
 from rulegrain.sources import config as conf
+from rulegrain.sources import trigrams
 from rulegrain.sources import workspace as ws
 from rulegrain.sources.engines import RegexEngine, RegexRule, Registry
 from rulegrain.streaming import events as ev
@@ -409,6 +410,25 @@ def violations_custom_rules(spark, sf_dir):
     return engine.run(list(custom), files(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+_PHRASE = "regexp_extract(text, '^([^ ]+ ){4}[^ ]+')"
+
+
+@query(f"""WITH r AS (SELECT item_id, {_PHRASE} AS p FROM benchmark WHERE length({_PHRASE}) > 0), {FILES_SQL},
+lines AS (SELECT file, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM files WHERE ext = 'txt'),
+s AS (SELECT item_id, p, file, n, string_split(line, p) AS parts FROM lines JOIN r ON contains(line, p)),
+k AS (SELECT *, unnest(range(1, len(parts))) AS k FROM s),
+c AS (SELECT *, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(p) + 1 AS c FROM k)
+SELECT 'benchmark' AS engine, 'item_' || item_id AS rule, file, n::INT AS start_line, c::INT AS start_column, (c + length(p))::INT AS end_column FROM c""")
+def violations_table_rules(spark, sf_dir):
+    """Rules from a table: the first five words of each benchmark item, looked for in all documents."""
+    phrase = F.regexp_extract("text", "^([^ ]+ ){4}[^ ]+", 0)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", phrase.alias("phrase")).where("length(phrase) > 0")
+    escaped = F.regexp_replace("phrase", r"([^\p{L}\p{N} ])", r"\\$1")
+    mine = items.select(F.lit("benchmark").alias("engine"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("rule"), escaped.alias("pattern"), F.lit("A benchmark passage").alias("message"))
+    docs = ws.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return trigrams.matched(mine, docs).select("engine", "rule", *_place())
+
+
 @query("SELECT * FROM (VALUES ('1', 1), ('Critical', 1), (' hIGH ', 2), ('3', 3), ('low', 4), ('INFO', 5)) AS t(given, severity)")
 def severities_parsed(spark, sf_dir):
     rows = spark.createDataFrame([(x, parse_severity(x)) for x in ("1", "Critical", " hIGH ", "3", "low", "INFO")], "given string, parsed int")
