@@ -2,27 +2,26 @@
 
 Spark writes rows (CSV, JSON lines, XML, and Parquet for large results) as
 folders; documents that are one object by nature (SARIF, HTML, a JSON array)
-are written part by part from an iterator, so no result is held whole.
+are written by tasks in parts that a commit joins (see documents).
 """
 
 from __future__ import annotations
 
-import html
 import json
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.operators.results import ordered, primary
+from rulegrain.operators.results import primary
+from rulegrain.plans.documents import SARIF_LEVEL, write_document
 from rulegrain.schema import LOG_EVENTS, severity_label
 from rulegrain.streaming.events import log_file
 
 #: Longest first: .sarif.json is SARIF.
 FORMATS = ((".sarif.json", "sarif"), (".sarif", "sarif"), (".csv", "csv"), (".html", "html"), (".htm", "html"), (".json", "json"), (".xml", "xml"), (".parquet", "parquet"))
-SARIF_LEVEL = {1: "error", 2: "error", 3: "warning", 4: "note", 5: "note"}
 
 
 def format_of(path: str) -> str:
@@ -33,10 +32,18 @@ def format_of(path: str) -> str:
     raise ValueError(f"{path!r}: unknown extension; use one of {', '.join(e for e, _ in FORMATS)}")
 
 
+def flat_columns() -> dict[str, Column]:
+    """The scalar columns of a violation by name."""
+    at = primary()
+    own = {c: F.col(c) for c in ("engine", "rule", "severity", "message")}
+    places = {c: at[c] for c in ("file", "start_line", "start_column", "end_line", "end_column")}
+    more = {"n_locations": F.size("code_locations"), "resources": F.array_join("resource_urls", " ")}
+    return {n: c.alias(n) for n, c in (own | places | more).items()}
+
+
 def flat_rows(violations: DataFrame) -> DataFrame:
     """One row for each violation, scalar columns only."""
-    at = primary()
-    return violations.select("engine", "rule", "severity", "message", at["file"].alias("file"), at["start_line"].alias("start_line"), at["start_column"].alias("start_column"), at["end_line"].alias("end_line"), at["end_column"].alias("end_column"), F.size("code_locations").alias("n_locations"), F.array_join("resource_urls", " ").alias("resources"))
+    return violations.select(*flat_columns().values())
 
 
 def sarif_rows(violations: DataFrame) -> DataFrame:
@@ -51,25 +58,6 @@ def _json(row) -> dict:
     return row.asDict(recursive=True)
 
 
-def _sarif_result(r: dict) -> dict:
-    def region(at: dict) -> dict:
-        names = {"start_line": "startLine", "start_column": "startColumn", "end_line": "endLine", "end_column": "endColumn"}
-        return {new: at[old] for old, new in names.items() if at[old]}
-
-    def place(at: dict) -> dict:
-        out = {"physicalLocation": {"artifactLocation": {"uri": at["file"] or ""}} | ({"region": region(at)} if at["start_line"] else {})}
-        return out | ({"message": {"text": at["comment"]}} if at["comment"] else {})
-
-    places = [place(at) for at in r["code_locations"]]
-    main = r["primary_location_index"] or 0
-    return {"ruleId": r["rule"], "level": SARIF_LEVEL[r["severity"]], "message": {"text": r["message"]}, "locations": places[main : main + 1], "relatedLocations": places[:main] + places[main + 1 :]}
-
-
-def _joined(write, items: Iterable[str], between: str) -> None:
-    for k, item in enumerate(items):
-        write((between if k else "") + item)
-
-
 def write_results(violations: DataFrame, path: str) -> None:
     """Overwrites; the parent folder must exist; written even when empty."""
     kind = format_of(path)
@@ -82,27 +70,8 @@ def write_results(violations: DataFrame, path: str) -> None:
         else:
             rows.write.mode("overwrite").parquet(path)
         return
-    rows = ordered(violations)
-    with open(path, "w", encoding="utf-8") as f:
-        if kind == "json":
-            f.write('{"violations": [\n')
-            _joined(f.write, (json.dumps(_json(r), default=str) for r in rows.toLocalIterator()), ",\n")
-            f.write("\n]}\n")
-        elif kind == "sarif":
-            f.write('{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [')
-            for k, e in enumerate(r.engine for r in violations.select("engine").distinct().orderBy("engine").collect()):
-                mine = rows.where(F.col("engine") == e)
-                rules = [{"id": r.rule} for r in mine.select("rule").distinct().orderBy("rule").collect()]
-                f.write((", " if k else "") + json.dumps({"tool": {"driver": {"name": e, "rules": rules}}})[:-1] + ', "results": [\n')
-                _joined(f.write, (json.dumps(_sarif_result(_json(r))) for r in mine.toLocalIterator()), ",\n")
-                f.write("\n]}")
-            f.write("]}\n")
-        else:
-            shown = flat_rows(rows).withColumn("severity", severity_label(F.col("severity")))
-            f.write("<!DOCTYPE html>\n<html><head><meta charset='utf-8'><title>Violations</title></head><body><table>\n<tr>" + "".join(f"<th>{c}</th>" for c in shown.columns) + "</tr>\n")
-            for r in shown.toLocalIterator():
-                f.write("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>\n")
-            f.write("</table></body></html>\n")
+    shown = [severity_label(F.col("severity")).alias("severity") if n == "severity" else c for n, c in flat_columns().items()]
+    write_document(violations, path, kind, shown if kind == "html" else ())
 
 
 def writers(paths: list[str]) -> list[Callable[[DataFrame], None]]:

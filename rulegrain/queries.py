@@ -17,6 +17,7 @@ from rulegrain.sources import config as conf
 from rulegrain.sources import trigrams
 from rulegrain.sources import workspace as ws
 from rulegrain.sources.engines import RegexEngine, RegexRule, Registry
+from rulegrain.sources.shared import shared_path
 from rulegrain.streaming import events as ev
 
 R = "Recommended"
@@ -410,6 +411,39 @@ def violations_custom_rules(spark, sf_dir):
     return engine.run(list(custom), files(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def _document(spark, sf_dir, ending: str) -> DataFrame:
+    """The lines of a results file, written by tasks and read again: a line is a violation."""
+    path = shared_path(spark, "results") + ending
+    sinks.write_results(violations(spark, sf_dir, "Legal"), path)
+    return spark.read.text(path)
+
+
+_LEGAL = VIOLATIONS_SQL + " SELECT <columns> FROM v WHERE list_contains(tags, 'Legal')"
+
+
+@query(_LEGAL.replace("<columns>", "engine, rule, severity, message, file, start_line, start_column, end_column, array_to_string(urls, ' ') AS resources"))
+def results_json_file(spark, sf_dir):
+    rows = _document(spark, sf_dir, ".json").where("value like '{\"violation_ord\"%' or value like '{\"engine\"%'")
+    v = rows.select(F.from_json(F.rtrim("value", F.lit(",")), VIOLATIONS + ", severity int").alias("v")).select("v.*")
+    return v.select("engine", "rule", "severity", "message", *_place(), F.array_join("resource_urls", " ").alias("resources"))
+
+
+@query(_LEGAL.replace("<columns>", "rule, ['error', 'error', 'warning', 'note', 'note'][severity] AS level, message, file, start_line, start_column, end_column"))
+def results_sarif_file(spark, sf_dir):
+    rows = _document(spark, sf_dir, ".sarif").where("value like '{\"ruleId\"%'")
+    region = "region struct<startLine:int,startColumn:int,endColumn:int>"
+    kind = f"ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,{region.replace(' ', ':', 1)}>>>"
+    r = rows.select(F.from_json(F.rtrim("value", F.lit(",")), kind).alias("r")).select("r.*", F.col("r.locations")[0]["physicalLocation"].alias("at"))
+    return r.select(F.col("ruleId").alias("rule"), "level", F.col("message.text").alias("message"), F.col("at.artifactLocation.uri").alias("file"), F.col("at.region.startLine").alias("start_line"), F.col("at.region.startColumn").alias("start_column"), F.col("at.region.endColumn").alias("end_column"))
+
+
+@query(_LEGAL.replace("<columns>", "engine, rule, severity || ' (' || ['Critical', 'High', 'Moderate', 'Low', 'Info'][severity] || ')' AS severity, message, file, start_line::VARCHAR AS start_line"))
+def results_html_file(spark, sf_dir):
+    cells = F.regexp_extract_all("value", F.lit("<td>(.*?)</td>"), F.lit(1))
+    rows = _document(spark, sf_dir, ".html").where("value like '<tr><td>%'").select(cells.alias("c"))
+    return rows.select(*(F.col("c")[k].alias(n) for k, n in enumerate(("engine", "rule", "severity", "message", "file", "start_line"))))
+
+
 _PHRASE = "regexp_extract(text, '^([^ ]+ ){4}[^ ]+')"
 
 
