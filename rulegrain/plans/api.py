@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -63,19 +64,22 @@ def registry_for(config: conf.Config, registry: Registry | None, failed: dict |
 
 
 def _files(spark: SparkSession, workspace, target, files: DataFrame | None, scan: bool) -> DataFrame | None:
+    """The files to work on; a target that no file lies at or under is an error, found by names alone."""
+    targets = [os.path.abspath(t) for t in ws.expand(target)] if target else None
+    rows = spark.createDataFrame([(t,) for t in targets], "path string") if targets else None
+    places = None
     if files is None:
         workspace, target = ws.resolve(workspace, target, scan)
         if workspace is None:
             return None
-        files = ws.scan(spark, ws.expand(workspace))
-    if target:
-        import os
-
-        rows = spark.createDataFrame([(os.path.abspath(t),) for t in ws.expand(target)], "path string")
-        if stray := [r.path for r in ws.stray_targets(files, rows).collect()]:
+        places = ws.expand(workspace)
+    if targets:
+        known = ws.scan(spark, places, targets, names=True) if places else files
+        if stray := [r.path for r in ws.stray_targets(known, rows).collect()]:
             raise ValueError(f"targets outside the workspace: {stray}")
-        return ws.targeted(files, rows).where("is_target")
-    return files
+    if places:
+        return ws.scan(spark, places, targets)
+    return ws.targeted(files, rows).where("is_target") if targets else files
 
 
 def run(

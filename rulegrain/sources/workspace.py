@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulegrain.functions import extension
 from rulegrain.operators.selector import flat
+from rulegrain.sources import folders
 
 DEFAULT = ["."]
 
@@ -50,44 +53,35 @@ def tops(paths: list[str]) -> list[str]:
     return [p for p in whole if not any(up in whole for up in above(p) if up != p)]
 
 
-def unlisted(paths: list[str]) -> list[str]:
-    """Files under local paths that Spark's listing leaves out: those named, or in a folder named, `.x` or `_x`."""
+def _folders(spark: SparkSession, paths: list[str], names: bool) -> DataFrame:
+    spark.dataSource.register(folders.WorkspaceSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"paths": json.dumps(paths), "tasks": str(4 * spark.sparkContext.defaultParallelism), "names": str(names).lower()}
+    return spark.read.format(folders.FORMAT).options(**options).load()
 
-    def hidden(name: str) -> bool:
-        return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
 
-    out = []
-    for top in paths:
-        if os.path.isfile(top):
-            out += [top] if hidden(os.path.basename(top)) else []
-            continue
-        for folder, _, names in os.walk(top):
-            inside = folder != top and any(map(hidden, os.path.relpath(folder, top).split(os.sep)))
-            out += [os.path.join(folder, n) for n in names if inside or hidden(n)]
-    return sorted(out)
-
-
-def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, ext, content of all files under the paths; Spark lists and reads them.
+def scan(spark: SparkSession, paths: list[str], targets: list[str] | None = None, names: bool = False) -> DataFrame:
+    """file, ext, content of all files under the paths; of those at or under the targets, where there are some.
 
-    What Spark's listing leaves out is read by the tasks themselves, from local
-    paths only: those have to be mounted on the executors.
+    names: without contents. Local folders are listed and read by the tasks, targets
+    being pushed down as filters; what has a scheme is read by Spark, which leaves
+    out `.x` and `_x`.
     """
     paths = tops(paths)
-    read = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
-    # a path comes as a URI: %20 is a space, but + is itself
-    file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    found = read.select(file.alias("file"), F.col("value").alias("content"))
-    if rest := unlisted([p for p in paths if "://" not in p]):
-
-        def opened(batches):
-            for batch in batches:
-                for k, path in enumerate(batch["file"]):
-                    with open(path, encoding="utf-8", errors="replace", newline="") as f:
-                        yield batch.iloc[[k]].assign(content=f.read())
-
-        names = spark.createDataFrame([(p,) for p in rest], "file string").repartition(min(len(rest), spark.sparkContext.defaultParallelism))
-        found = found.unionByName(names.mapInPandas(opened, "file string, content string"))
+    local, remote = [p for p in paths if "://" not in p], [p for p in paths if "://" in p]
+    parts = []
+    if local:
+        # targets don't lie in one another, so the parts are disjoint; each is a read of its own, with its own filter
+        under = lambda t: F.col("file").startswith(t.rstrip("/") + "/") if os.path.isdir(t) else F.col("file") == t
+        parts += [_folders(spark, local, names)] if targets is None else [_folders(spark, local, names).where(under(t)) for t in tops(targets)]
+    if remote:
+        read = spark.read.text([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in remote], wholetext=True, recursiveFileLookup=True)
+        # a path comes as a URI: %20 is a space, but + is itself
+        file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+        found = read.select(file.alias("file"), F.col("value").alias("content"))
+        at = lambda t: (F.col("file") == t) | F.col("file").startswith(t.rstrip("/") + "/")
+        parts.append(found if targets is None else found.where(reduce(lambda a, b: a | b, map(at, targets))))
+    found = reduce(DataFrame.unionByName, parts)
     return found.withColumn("ext", extension(F.col("file"))).select("file", "ext", "content")
 
 
