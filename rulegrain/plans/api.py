@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable
+from contextlib import suppress
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rulegrain.operators import catalog, confdiff, results, selector, summary
@@ -17,6 +19,7 @@ from rulegrain.sources import config as conf
 from rulegrain.sources import workspace as ws
 from rulegrain.sources.engines import RegexEngine, Registry
 from rulegrain.streaming.events import CORE, engine_execution, engine_selection
+from rulegrain.streaming.listeners import EXECUTION, SELECTION, Listener, Listeners, Watched
 
 VIEWS = ("table", "detail")
 
@@ -82,13 +85,30 @@ def _files(spark: SparkSession, workspace, target, files: DataFrame | None, scan
     return ws.targeted(files, rows).where("is_target") if targets else files
 
 
+def _executed(spark: SparkSession, engines: Registry, chosen: DataFrame, scanned: DataFrame, told: Listeners, active: list[str], tick: int) -> DataFrame:
+    """The violations, found and kept: writers, views and counts read them."""
+    seen = Observation()
+    violations = results.enriched(engines.run(chosen, scanned, seen), chosen).cache()
+    told.say(EXECUTION, 0, active)
+    with Watched(spark, told, active, tick):
+        counts = {"violations": violations.count()}
+    if any(type(e) is RegexEngine and e.name in active for e in engines.engines):
+        with suppress(Py4JJavaError):  # nothing was observed where the plan turned out empty before the files were read
+            counts |= seen.get
+    told.say(EXECUTION, 100, active, **counts)
+    return violations
+
+
 def run(
     spark: SparkSession, workspace: list[str] | None = None, target: list[str] | None = None, rule_selector: str | list[str] = DEFAULT_TAG, severity_threshold: int | str | None = None,
     view: str | None = None, output_file: list[str] | str = (), config_file: str | None = None, registry: Registry | None = None, files: DataFrame | None = None,
+    listeners: Iterable[Listener] = (), tick: int = 1000,
 ) -> RunResult:
     """Select rules, scan, and report. Arguments are checked before anything is read.
 
-    files: a table (file, ext, content) in place of a workspace. The gate comes
+    files: a table (file, ext, content) in place of a workspace. listeners: told of
+    progress from before the selection until before results are written, every
+    `tick` milliseconds (0 and less: at beginnings and ends only). The gate comes
     last, so results are written even where it fails.
     """
     output = selector.flat(output_file)
@@ -100,8 +120,12 @@ def run(
     log = sinks.RunLog(config.log_folder, config.log_level)
     try:
         scanned = _files(spark, workspace, target, files, scan=True)
-        chosen = selector.select(catalog.overridden(engines.catalogue(spark, scanned), conf.overrides(spark, config)), rule_selector)
-        violations = results.enriched(engines.run(chosen, scanned), chosen).cache()  # several actions read them
+        with Listeners(listeners) as told:
+            told.say(SELECTION, 0)
+            chosen = selector.select(catalog.overridden(engines.catalogue(spark, scanned), conf.overrides(spark, config)), rule_selector)
+            per = {r.engine: r["count"] for r in chosen.groupBy("engine").count().collect()}
+            told.say(SELECTION, 100, sorted(per), rules=sum(per.values()))
+            violations = _executed(spark, engines, chosen, scanned, told, sorted(per), tick)
         sent = {"engine_selection": engine_selection(chosen, names), "engine_execution": engine_execution(violations, chosen, names)}
         if config.log_folder:
             for r in sent["engine_selection"].orderBy("engine").collect():

@@ -17,7 +17,7 @@ from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -269,10 +269,10 @@ class Registry:
         rows = [(e.name, k, rule, i, severity, tags, text, urls) for k, e in enumerate(self.engines) for i, (rule, severity, tags, text, urls) in enumerate(e.describe(spark, files))]
         return spark.createDataFrame(rows, RULES)
 
-    def run(self, selected: DataFrame, files: DataFrame) -> DataFrame:
+    def run(self, selected: DataFrame, files: DataFrame, seen: Observation | None = None) -> DataFrame:
         """Violations of all engines with a selected rule, one plan; engines without are left out.
 
-        The regex engines share one scan.
+        The regex engines share one scan. seen: observes the number of `files` in it.
 
         selected: rules (a catalogue's rows: small by nature).
         """
@@ -281,7 +281,7 @@ class Registry:
             names.setdefault(r.engine, []).append(r.rule)
         mine = [e for e in self.engines if e.name in names]
         regex = [(e.name, r) for e in mine if type(e) is RegexEngine for r in e.rules if r.name in set(names[e.name])]
-        out = matched(regex, files)
+        out = matched(regex, files.observe(seen, F.count(F.lit(1)).alias("files")) if seen and regex else files)
         for e in mine:
             if type(e) is not RegexEngine:
                 out = out.unionByName(e.run(names[e.name], files))
