@@ -24,13 +24,21 @@ def rule_diff(user: DataFrame, default: DataFrame, include_unmodified: bool = Fa
     return out if include_unmodified else out.where("severity_modified or tags_modified")
 
 
+#: The rest of a JSON string, up to its closing quote; an escaped quote doesn't close it.
+STRING = r'[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def shortened(value_json: Column, config_root: str | None) -> Column:
-    """Paths under config_root inside string values, relative to it; keys stay."""
+    """Paths under config_root that are string values, at any depth, relative to it; keys stay.
+
+    Each search begins where a string ended, so it goes from string to string and
+    never takes a quote inside one for its beginning.
+    """
     if not config_root:
         return value_json
     root = json.dumps(config_root.rstrip("/") + "/")[1:-1]
-    pattern = '(?<=[:\\[,{]\\s?|^)"' + "\\Q" + root + "\\E" + '(?=[^"]*"\\s*(?:[,\\]}]|$))'
-    return F.regexp_replace(value_json, pattern, '"')
+    others = rf'[^"]*+(?:"{STRING}[^"]*+)*?'
+    return F.regexp_replace(value_json, rf'\G({others})"\Q{root}\E({STRING})(?!\s*:)', '$1"$2')
 
 
 def field_diff(fields: DataFrame, config_root: str | None = None) -> DataFrame:

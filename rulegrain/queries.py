@@ -444,6 +444,106 @@ def results_html_file(spark, sf_dir):
     return rows.select(*(F.col("c")[k].alias(n) for k, n in enumerate(("engine", "rule", "severity", "message", "file", "start_line"))))
 
 
+_COUNTED = " SELECT engine, rule, severity, count(*) AS n FROM v WHERE {} GROUP BY ALL"
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.groupBy("engine", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+for _n, _selector in SELECTIONS.items():  # each form of selector, by what its rules find
+    _ALL[f"violations_select_{_n}"] = (lambda spark, sf_dir, x=_selector: _counted(violations(spark, sf_dir, x)), VIOLATIONS_SQL + _COUNTED.replace("{}", SELECTION_SQL[_n]))
+_EFFECTIVE = VIOLATIONS_SQL + ", " + OVERRIDES_SQL + ", e AS (SELECT v.* REPLACE (eff.severity AS severity, eff.tags AS tags), v.severity AS default_severity FROM v JOIN eff USING (engine, rule))"
+
+
+def _overridden(spark, sf_dir, select: str) -> DataFrame:
+    chosen = selector.select(catalog.overridden(rules(spark), overrides(spark)), select)
+    return results.enriched(REGISTRY.run(chosen, files(spark, sf_dir)), chosen)
+
+
+@query(_EFFECTIVE + " SELECT engine, rule, severity, count(*) AS n FROM e WHERE list_contains(tags, 'CodeStyle') GROUP BY ALL")
+def violations_override_then_select(spark, sf_dir):
+    """Overrides come before the selection: a tag that a user gives selects."""
+    return _counted(_overridden(spark, sf_dir, "codestyle"))
+
+
+@query(_EFFECTIVE + " SELECT engine, rule, severity, default_severity, severity <> default_severity AS severity_modified, count(*) AS n FROM e GROUP BY ALL")
+def violations_rule_diff(spark, sf_dir):
+    """What changed rules find, under the severities of the user and of the catalogue."""
+    diff = confdiff.rule_diff(catalog.overridden(rules(spark), overrides(spark)), rules(spark), True)
+    found = _overridden(spark, sf_dir, "all").join(diff.drop("severity", "tags"), ["engine", "rule"])
+    return found.groupBy("engine", "rule", "severity", "default_severity", "severity_modified").agg(F.count("*").alias("n"))
+
+
+@query(VIOLATIONS_SQL + _COUNTED.replace("{}", "engine NOT IN ('idle', 'prose')"))
+def violations_engine_disabled(spark, sf_dir):
+    left = REGISTRY.without(["idle", "prose"])
+    mine = catalog.enabled(left.catalogue(spark), catalog.disabled_engines(REGISTRY.names(spark), left.names(spark)))
+    return _counted(results.enriched(left.run(mine, files(spark, sf_dir)), mine))
+
+
+@query(VIOLATIONS_SQL + """, hit AS (SELECT DISTINCT engine, rule FROM v), r AS (SELECT rules.*, hit.rule IS NOT NULL AS is_hit FROM rules LEFT JOIN hit USING (engine, rule))
+SELECT engine, min(CASE WHEN is_hit THEN 0 ELSE 1 END)::INT AS ord, count(*) FILTER (is_hit) AS n_rules FROM r GROUP BY engine""")
+def engines_of_violations(spark, sf_dir):
+    """Engines whose rules found something, then the others, with the number of such rules."""
+    hit = rules(spark).join(violations(spark, sf_dir).select("engine", "rule").distinct(), ["engine", "rule"], "left_semi")
+    per = catalog.per_engine(hit)
+    return catalog.relevant_engines(hit, rules(spark)).join(per, "engine", "left").select("engine", "ord", F.coalesce("n_rules", F.lit(0)).alias("n_rules"))
+
+
+@query(VIOLATIONS_SQL + """, hit AS (SELECT DISTINCT engine, rule FROM v)
+SELECT row_number() OVER (ORDER BY engine_ord, engine, rule)::INT AS num, rule, severity || ' (' || ['Critical', 'High', 'Moderate', 'Low', 'Info'][severity] || ')' AS severity, engine, array_to_string(tags, ', ') AS tags,
+CASE WHEN len(urls) = 1 THEN urls[1] END AS resource, CASE WHEN len(urls) > 1 THEN array_to_string(urls, ' ') END AS resources, nullif(description, '') AS description FROM rules SEMI JOIN hit USING (engine, rule)""")
+def rules_that_found(spark, sf_dir):
+    """Details of the rules that found something."""
+    hit = rules(spark).join(violations(spark, sf_dir).select("engine", "rule").distinct(), ["engine", "rule"], "left_semi")
+    return results.rule_details(hit).withColumn("resources", F.array_join("resources", " "))
+
+
+@query(VIOLATIONS_SQL + """, t AS (SELECT *, regexp_extract(file, '([0-9])[.]', 1)::INT % 3 AS k FROM v WHERE list_contains(tags, 'Privacy'))
+SELECT row_number() OVER (ORDER BY severity, CASE k WHEN 0 THEN '' ELSE file END, CASE k WHEN 2 THEN start_line ELSE 0 END, CASE k WHEN 2 THEN start_column ELSE 0 END, (regexp_extract(file, '([0-9]+)[.][a-z]+$', 1)::BIGINT * 2 + (file LIKE '%.html')::INT) * 10000000000 + start_line::BIGINT * 100000 + start_column) AS num,
+CASE k WHEN 2 THEN regexp_replace(file, '^/ws/', '') || ':' || start_line || ':' || start_column END AS location, message FROM t""")
+def violations_missing_places(spark, sf_dir):
+    """A third of the violations without a file, a third without a line: their place in the table is null."""
+    v = violations(spark, sf_dir, "Privacy")
+    number = F.regexp_extract(_at()["file"], r"(\d+)\.[a-z]+$", 1).cast("long") * 2 + _at()["file"].endswith(".html").cast("long")
+    v = v.withColumn("violation_ord", number * 10**10 + _at()["start_line"] * 10**5 + _at()["start_column"])
+    k = F.regexp_extract(_at()["file"], r"([0-9])\.", 1).cast("int") % 3
+    less = lambda x: x.withField("file", F.when(k != 0, x["file"])).withField("start_line", F.when(k == 2, x["start_line"])).withField("start_column", F.when(k == 2, x["start_column"]))
+    return results.table(v.withColumn("code_locations", F.transform("code_locations", less)), collation=None).select("num", "location", "message")
+
+
+@query("""WITH g AS (SELECT event_id, ['1', 'critical', ' hIGH ', '3', 'Low', 'INFO'][event_id % 6 + 1] AS given, [1, 1, 2, 3, 4, 5][event_id % 6 + 1] AS severity FROM events)
+SELECT given, severity, count(*) AS n FROM g GROUP BY ALL""")
+def severities_of_events(spark, sf_dir):
+    names = F.array(*map(F.lit, ("1", "critical", " hIGH ", "3", "Low", "INFO")))
+    given = events(spark, sf_dir).select(F.get(names, (F.col("event_id") % 6).cast("int")).alias("given"))
+    return given.groupBy("given", severity_of(F.col("given")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT event_id, '{"at":"' || event_type || '/x","/root/cfg/k":["say \"/root/cfg/q\"","a\"b",{"deep":"","n":' || user_id || '}],"other":"/root/cfgs/y"}' AS value FROM events""")
+def values_with_relative_paths(spark, sf_dir):
+    """Values at any depth become relative; keys, quotes inside strings and other folders stay."""
+    root = F.lit("/root/cfg/")
+    e = events(spark, sf_dir)
+    listed = F.array(*(F.to_json(F.struct(x.alias("v"))).substr(F.lit(6), F.lit(10_000)) for x in (F.lit('say "/root/cfg/q"'), F.concat(root, F.lit('a"b')))))
+    text = lambda c: F.regexp_replace(c, "[}]$", "")
+    deep = F.concat(F.lit('{"deep":"/root/cfg/","n":'), F.col("user_id").cast("string"), F.lit("}"))
+    value = F.concat(F.lit('{"at":"'), root, "event_type", F.lit('/x","/root/cfg/k":['), text(listed[0]), F.lit(","), text(listed[1]), F.lit(","), deep, F.lit('],"other":"/root/cfgs/y"}'))
+    return e.select("event_id", confdiff.shortened(value, "/root/cfg").alias("value"))
+
+
+@query("""WITH u AS (SELECT 'web' AS engine, 'u' || user_id AS field, arg_min(props, event_id) AS default_json, arg_max(props, event_id) AS value_json, bool_or(event_type = 'error') AS supplied, user_id % 5 <> 0 AS described FROM events GROUP BY user_id),
+s AS (SELECT *, CASE WHEN NOT supplied AND value_json <> default_json THEN 'derived' WHEN value_json = default_json THEN 'default' ELSE 'modified' END AS status FROM u WHERE described)
+SELECT engine, field, status, CASE WHEN status = 'modified' THEN value_json ELSE default_json END AS printed_json, CASE status WHEN 'derived' THEN value_json WHEN 'modified' THEN default_json END AS note_json FROM s""")
+def fields_of_events(spark, sf_dir):
+    """Settings from events: each user's first and last value."""
+    user = F.col("user_id")
+    per = events(spark, sf_dir).groupBy("user_id").agg(F.min_by("props", "event_id").alias("default_json"), F.max_by("props", "event_id").alias("value_json"), F.bool_or(F.col("event_type") == "error").alias("supplied"))
+    fields = per.select(F.lit("web").alias("engine"), F.concat(F.lit("u"), user.cast("string")).alias("field"), user.cast("int").alias("field_ord"), F.when(user % 5 != 0, F.lit("text")).alias("description"), F.lit("string").alias("value_type"), "default_json", "value_json", "supplied")
+    return confdiff.field_diff(fields).select("engine", "field", "status", "printed_json", "note_json")
+
+
 _PHRASE = "regexp_extract(text, '^([^ ]+ ){4}[^ ]+')"
 
 

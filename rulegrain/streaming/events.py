@@ -123,8 +123,16 @@ def tracked_run(events: DataFrame, run: str | None = None) -> DataFrame:
 
 
 def append_log(lines: DataFrame, folder: str, checkpoint: str, every: str | None = None):
-    """A stream of lines (`text`) to text files; starts the query. every: a trigger such as '1 second'."""
-    out = lines.select("text").writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append")
+    """A stream of lines (`text`) to text files, each batch in a folder of its own (`batch=<id>`); starts the query. every: a trigger such as '1 second'.
+
+    A batch that a restarted query runs again replaces what its folder holds, so
+    no line is there twice, and none of a half-written attempt stays.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").text(f"{folder.rstrip('/')}/batch={number}")
+
+    out = lines.select("text").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 

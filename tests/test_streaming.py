@@ -75,3 +75,32 @@ def test_telemetry(spark):
 def test_event_sources(spark):
     e = spark.createDataFrame([("x", "m")], "engine string, message string")
     assert ev.engine_events(e).first().source == "x" and ev.core_events(e.drop("engine")).first().source == "Core"
+
+
+def test_a_restarted_log_writes_no_line_twice(spark, tmp_path, monkeypatch):
+    """The query dies after a batch is written and before it is committed; the next start runs that batch again."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / f"in/{k}.txt").write_text(f"line {k}a\nline {k}b\n")
+    lines = lambda: spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in")).withColumnRenamed("value", "text")
+    text = DataFrameWriter.text
+
+    def dies(self, path, *rest, **more):
+        text(self, path, *rest, **more)
+        if path.endswith("batch=1"):
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(DataFrameWriter, "text", dies)
+    query = ev.append_log(lines(), str(tmp_path / "log"), str(tmp_path / "ck"))
+    try:
+        query.awaitTermination(90)
+        raise AssertionError("the query should have died")
+    except Exception as e:
+        assert "killed" in str(e)
+    assert spark.read.text(str(tmp_path / "log")).count() == 4
+    monkeypatch.setattr(DataFrameWriter, "text", text)
+    ev.append_log(lines(), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination(90)
+    got = sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect())
+    assert got == sorted(f"line {k}{x}" for k in range(3) for x in "ab")
