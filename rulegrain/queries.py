@@ -18,6 +18,7 @@ from rulegrain.sources import trigrams
 from rulegrain.sources import workspace as ws
 from rulegrain.sources.engines import RegexEngine, RegexRule, Registry
 from rulegrain.sources.shared import shared_path
+from rulegrain.sources.tables import duplicate_blocks
 from rulegrain.streaming import events as ev
 
 R = "Recommended"
@@ -544,6 +545,21 @@ def fields_of_events(spark, sf_dir):
     return confdiff.field_diff(fields).select("engine", "field", "status", "printed_json", "note_json")
 
 
+@query(f"""WITH {FILES_SQL}, l AS (SELECT file, string_split(content, chr(10)) AS l FROM files WHERE ext = 'txt'),
+w AS (SELECT file, unnest(range(1, len(l) - 1))::INT AS line, l FROM l WHERE len(l) >= 3),
+b AS (SELECT file, line, l[line:line + 2] AS b FROM w WHERE len(list_filter(l[line:line + 2], lambda x: trim(x) = '')) = 0),
+f AS (SELECT b, min({{'file': file, 'line': line}}) AS first FROM b GROUP BY b HAVING min(file) <> max(file))
+SELECT file, min(line) AS start_line, min(line) + 2 AS end_line, first.file AS other_file, first.line AS other_line FROM b JOIN f USING (b) WHERE file <> first.file GROUP BY b, file, first""")
+def violations_repeated_blocks(spark, sf_dir):
+    """An engine that is a table function: three lines that an earlier document has too."""
+    engine = duplicate_blocks(3)
+    docs = ws.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    both = Registry([engine])
+    place, other = (F.get("code_locations", F.lit(k)) for k in (0, 1))
+    found = both.run(both.catalogue(spark), docs)
+    return found.select(place["file"].alias("file"), place["start_line"].alias("start_line"), place["end_line"].alias("end_line"), other["file"].alias("other_file"), other["start_line"].alias("other_line"))
+
+
 _PHRASE = "regexp_extract(text, '^([^ ]+ ){4}[^ ]+')"
 
 
