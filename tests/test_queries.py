@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "events"):
+    for t in ("documents", "pages", "labels", "events", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
