@@ -89,20 +89,16 @@ def rendered(messages: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(START), _role_out(role), F.lit("\n"))
     parts = messages.select("conv_id", "turn", head.alias("head"), escaped(text).alias("body"), (role == "assistant").alias("loss"))
-    turns = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "head", "body", "loss"))).alias("turns"))
+    # a turn's place is the running sum of the sizes before it: each turn is touched once
     close = F.lit(END + "\n")
-    size = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END) + 1
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        span = F.array(F.struct((acc["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length")))
-        spans = F.coalesce(acc["spans"], F.expr("cast(array() as array<struct<start:int,length:int>>)"))
-        return F.struct((acc["at"] + size(t)).alias("at"), F.when(t["loss"], F.concat(spans, span)).otherwise(spans).alias("spans"))
-
+    before = Window.partitionBy("conv_id").orderBy("turn", "head", "body").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(END) + 1
+    placed = parts.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
+    turns = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "head", "body", "loss"))).alias("turns"))
     return turns.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], close)), "").alias("formatted"),
-        F.aggregate("turns", start, step)["spans"].alias("loss_mask"),
+        F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct((t["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"))).alias("loss_mask"),
     )
 
 
@@ -118,9 +114,24 @@ def read_back(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+#: Code points of a block, in which a span's place is looked for.
+BLOCK = 4096
+
+
 def under_mask(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(mask, lambda m: unescaped(F.substring(formatted, m["start"] + 1, m["length"]))), "")
+    """All text under the loss mask, unescaped, in order, nothing between.
+
+    The text is cut into blocks once, so a span is read from the blocks that it
+    lies in, not from the text's beginning.
+    """
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def cut(b: Column, m: Column) -> Column:
+        first, last = F.floor(m["start"] / BLOCK).cast("int"), F.floor((m["start"] + m["length"]) / BLOCK).cast("int")
+        return F.substring(F.array_join(F.slice(b, first + 1, last - first + 1), ""), m["start"] - first * BLOCK + 1, m["length"])
+
+    # an array of one: what its lambda sees is computed once
+    return F.get(F.transform(F.array(blocks), lambda b: F.array_join(F.transform(mask, lambda m: unescaped(cut(b, m))), "")), 0)
 
 
 def format_chats(events: DataFrame) -> DataFrame:

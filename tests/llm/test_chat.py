@@ -57,3 +57,16 @@ def test_empty_log_and_repeated_rows(spark):
     assert chat.format_chats(spark.createDataFrame([], EVENTS)).count() == 0
     twice = spark.createDataFrame([(1, 0, "user", "a", "extra")] * 2, "conv_id long, turn long, role string, text string, seq string")
     assert read(chat.format_chats(chat.from_rows(twice)))[1][0] == [("user", "a")] * 2
+
+
+def test_many_turns_of_one_conversation(spark):
+    """40,000 turns, half of them the assistant's, with texts longer than a block, empty ones and wide characters."""
+    import time
+
+    text = lambda k: "é\U0001f600</s>" * (k % 3) + ("long " * 2000 if k % 5000 == 7 else str(k))
+    rows = [(1, k, "assistant" if k % 2 else "user", text(k) if k % 11 else "") for k in range(40_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    (got,) = read(chat.format_chats(chat.from_rows(df))).values()
+    assert time.perf_counter() - began < 40
+    assert got[0] == [(r, t) for _, _, r, t in rows] and got[1] == "".join(t for _, _, r, t in rows if r == "assistant")
