@@ -50,6 +50,23 @@ def property_list(pairs: Column) -> Column:
     return F.when(F.size(F.coalesce(pairs, F.expr("cast(array() as array<struct<key:string,value:string>>)"))) == 0, F.lit("")).otherwise(F.array_join(F.transform(pairs, line), "\n"))
 
 
+def properties(pairs: Column) -> Column:
+    """As property_list, from an array of (key, value, values): `values`, where there are some, stand below the key, a line each and moved right.
+
+    A value's second line begins below its first.
+    """
+    width = F.array_max(F.transform(pairs, lambda p: F.length(p["key"]))) + 2
+
+    def line(p: Column) -> Column:
+        parts = F.split(F.coalesce(p["value"], F.lit("")), "\n", 2)
+        rest = F.when(F.size(parts) > 1, F.concat(F.lit("\n"), F.repeat(F.lit(" "), width), F.get(parts, 1))).otherwise(F.lit(""))
+        value = F.concat(F.get(parts, 0), rest)
+        below = F.concat(p["key"], F.lit(":\n"), F.array_join(F.transform(p["values"], lambda v: indented(v)), "\n"))
+        return F.when(F.size(p["values"]) > 0, below).otherwise(F.rtrim(F.concat(F.rpad(F.concat(p["key"], F.lit(":")), width, " "), value)))
+
+    return F.array_join(F.transform(pairs, line), "\n")
+
+
 def header(title: Column) -> Column:
     return F.concat(F.lit("=== "), title)
 

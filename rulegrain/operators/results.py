@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulegrain.functions import base_name, dir_name, missing_if_falsy, without_prefix
+from rulegrain.functions import base_name, dir_name, header, indented, missing_if_falsy, properties, without_prefix
 from rulegrain.schema import severity_label
 
 
@@ -95,6 +95,20 @@ def details(violations: DataFrame, run_dir: Column | None = None, collation: str
     )
 
 
+def detail_text(details: DataFrame) -> DataFrame:
+    """(num, text): each row of details() as a header and, below it, its properties; what it doesn't have is left out."""
+    one = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c).alias("value"), F.lit(None).cast("array<string>").alias("values")))
+    many = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.lit(None).cast("string").alias("value"), F.col(c).alias("values")))
+    pairs = F.array_compact(F.array(one("severity"), one("engine"), one("message"), one("location"), many("locations"), one("resource"), many("resources")))
+    title = header(F.concat(F.col("num").cast("string"), F.lit(". "), "rule"))
+    return details.select("num", F.concat(title, F.lit("\n"), indented(properties(pairs))).alias("text"))
+
+
+def table_text(rows: DataFrame) -> DataFrame:
+    """(num, text): each row of table(), or of rule_table(), as one line, its columns between bars; null is empty."""
+    return rows.select("num", F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), " | ").alias("text"))
+
+
 def table(violations: DataFrame, collation: str | None = "UNICODE") -> DataFrame:
     """num, severity, rule, location, message; paths are relative to the files' common folder.
 

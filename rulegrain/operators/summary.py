@@ -49,6 +49,11 @@ def gate(violations: DataFrame, threshold: int | str | None) -> Gate:
     return Gate(r.n > 0, r.worst or 0, r.n)
 
 
+def before_lines(log: str | None) -> list[str]:
+    """What is said before a run begins: where its log goes."""
+    return ["Log goes to:", f"    {log}"] if log else ["No log is kept"]
+
+
 def results_lines(violations: DataFrame, files: list[str] = (), log: str | None = None) -> list[str]:
     """The summary after a run, as lines. One aggregation; what comes to the driver is one row."""
     counts = [F.count_if(F.col("severity") == n).alias(str(n)) for n in SEVERITIES]

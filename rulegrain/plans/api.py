@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from contextlib import suppress
 from dataclasses import dataclass, field
 
@@ -40,6 +40,13 @@ class RunResult:
     gate: summary.Gate
     telemetry: dict = field(default_factory=dict)
     log: str | None = None  # the log file, where the configuration has a log_folder
+    before: list[str] = field(default_factory=list)  # what was said before the run
+
+    def text(self) -> DataFrame | None:
+        """The view as text: num and text of each violation."""
+        if self.view is None:
+            return None
+        return results.detail_text(self.view) if "title" in self.view.columns else results.table_text(self.view)
 
 
 def registry_for(config: conf.Config, registry: Registry | None, failed: dict | None = None) -> Registry:
@@ -102,14 +109,15 @@ def _executed(spark: SparkSession, engines: Registry, chosen: DataFrame, scanned
 def run(
     spark: SparkSession, workspace: list[str] | None = None, target: list[str] | None = None, rule_selector: str | list[str] = DEFAULT_TAG, severity_threshold: int | str | None = None,
     view: str | None = None, output_file: list[str] | str = (), config_file: str | None = None, registry: Registry | None = None, files: DataFrame | None = None,
-    listeners: Iterable[Listener] = (), tick: int = 1000,
+    listeners: Iterable[Listener] = (), tick: int = 1000, say: Callable[[list[str]], None] = lambda lines: None,
 ) -> RunResult:
     """Select rules, scan, and report. Arguments are checked before anything is read.
 
     files: a table (file, ext, content) in place of a workspace. listeners: told of
     progress from before the selection until before results are written, every
-    `tick` milliseconds (0 and less: at beginnings and ends only). The gate comes
-    last, so results are written even where it fails.
+    `tick` milliseconds (0 and less: at beginnings and ends only). say: gets the
+    lines before the run as soon as they are known. The gate comes last, so results
+    are written even where it fails.
     """
     output = selector.flat(output_file)
     writers, view = sinks.writers(output), view_of(view, output)
@@ -118,6 +126,8 @@ def run(
     engines = registry_for(config, registry)
     names = engines.names(spark)
     log = sinks.RunLog(config.log_folder, config.log_level)
+    before = summary.before_lines(log.path)
+    say(before)
     try:
         scanned = _files(spark, workspace, target, files, scan=True)
         with Listeners(listeners) as told:
@@ -140,7 +150,7 @@ def run(
     for write in writers:
         write(violations)
     shown = {"table": results.table, "detail": results.details}[view](violations).orderBy("num") if view else None
-    return RunResult(violations, chosen, shown, summary.results_lines(violations, output), summary.gate(violations, threshold), sent, logged)
+    return RunResult(violations, chosen, shown, summary.results_lines(violations, output), summary.gate(violations, threshold), sent, logged, before)
 
 
 @dataclass
@@ -176,10 +186,12 @@ TOP = (
 
 def config(
     spark: SparkSession, rule_selector: str | list[str] = "all", config_file: str | None = None, output_file: str | None = None, include_unmodified_rules: bool = False,
-    registry: Registry | None = None, files: DataFrame | None = None, overwrite=lambda path: True,
+    registry: Registry | None = None, files: DataFrame | None = None, overwrite: Callable[[str], bool] = lambda path: True, view: Callable[[str], None] = lambda text: None,
 ) -> str:
     """The user's configuration against the defaults as YAML; returned, and written where asked.
 
+    view: gets the text where it wasn't written: no file was named, or the file is to stay.
+
     An engine whose configuration is wrong is logged, and shown with the user's own values.
     """
     if output_file and not output_file.lower().endswith((".yaml", ".yml")):
@@ -208,6 +220,6 @@ def config(
     rows = lambda df, *by: [r.asDict() for r in df.orderBy(*by).collect()]  # noqa: E731  a configuration: small by nature
     diff = confdiff.rule_diff(effective, every, include_unmodified_rules)
     text = confdiff.yaml_text(rows(confdiff.field_diff(top), "field_ord"), rows(diff, "engine", "rule"), engines, rows(fields.where(F.col("engine").isin(engines)), "engine", "field_ord"))
-    if output_file:
-        sinks.write_config(text, output_file, overwrite)
+    if not (output_file and sinks.write_config(text, output_file, overwrite)):
+        view(text)
     return text

@@ -120,17 +120,18 @@ class RunLog:
 
     def __init__(self, folder: str | None, level: int):
         self.folder, self.level, self.events = folder, level, []
+        stamp = datetime.now(timezone.utc).strftime("%Y_%m_%d_%H_%M_%S_%f")[:-3]
+        self.path = os.path.join(folder, log_name(stamp)) if folder else None
 
     def say(self, level: int, source: str, message: str) -> None:
         self.events.append((datetime.now(timezone.utc), source, level, message))
 
     def close(self, spark: SparkSession) -> str | None:
         """The file's path; None where no folder is set."""
-        if not self.folder:
+        if not self.path:
             return None
         lines = log_file(spark.createDataFrame(self.events, LOG_EVENTS), self.level).orderBy("ts") if self.events else None
-        path = os.path.join(self.folder, log_name(datetime.now(timezone.utc).strftime("%Y_%m_%d_%H_%M_%S_%f")[:-3]))
-        with open(path, "w", encoding="utf-8") as f:
+        with open(self.path, "w", encoding="utf-8") as f:
             f.writelines(f"{r.text}\n" for r in (lines.collect() if lines else ()))
             f.write(LOG_END + "\n")
-        return path
+        return self.path

@@ -393,6 +393,13 @@ def violations_details(spark, sf_dir):
     return out.withColumns({c: F.array_join(c, " ") for c in ("locations", "resources")})
 
 
+@query(VIOLATIONS_SQL + f""", w AS (SELECT *, row_number() OVER (ORDER BY severity, file, start_line, start_column, engine, rule) AS num, CASE WHEN len(urls) > 1 THEN 11 ELSE 10 END AS w FROM v WHERE list_contains(tags, 'Legal'))
+SELECT num, '=== ' || num || '. ' || rule || chr(10) || '    ' || rpad('severity:', w, ' ') || {_LEVEL_TEXT} || chr(10) || '    ' || rpad('engine:', w, ' ') || engine || chr(10) || '    ' || rpad('message:', w, ' ') || message || chr(10) || '    ' || rpad('location:', w, ' ') || {_SPOT_TEXT}
+|| CASE len(urls) WHEN 0 THEN '' WHEN 1 THEN chr(10) || '    resource: ' || urls[1] ELSE chr(10) || '    resources:' || chr(10) || array_to_string(list_transform(urls, lambda u: '        ' || u), chr(10)) END AS text FROM w""")
+def violations_detail_text(spark, sf_dir):
+    return results.detail_text(results.details(_ordered(violations(spark, sf_dir, "Legal")), collation=None))
+
+
 @query(VIOLATIONS_SQL + f""", u AS (SELECT *, CASE WHEN regexp_extract(file, '([0-9])[.][a-z]+$', 1)::INT % 2 = 1 THEN replace(replace(file, 'src', 'SRC'), 'pages', 'PAGES') ELSE file END AS named FROM v WHERE list_contains(tags, 'Legal'))
 SELECT row_number() OVER (ORDER BY severity, lower(named), start_line, start_column, engine, rule) AS num, named AS file, rule FROM u""")
 def violations_sorted_locale(spark, sf_dir):

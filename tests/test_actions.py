@@ -194,3 +194,24 @@ def test_config_goes_on_with_a_wrong_engine(spark, tmp_path):
     assert "ERROR regex - 'no literal' is no /pattern/flags" in open(log).read()
     with pytest.raises(ValueError):
         api.run(spark, ["."], config_file=str(conf))
+
+
+def test_texts_before_after_and_instead(spark, project, tmp_path):
+    src, conf = project
+    said, shown = [], []
+    got = api.run(spark, [str(src)], config_file=str(conf), view="detail", say=said.append)
+    assert said == [got.before] == [["No log is kept"]]
+    assert got.text().orderBy("num").first().text == f"=== 1. NoTodos\n    severity: 2 (High)\n    engine:   regex\n    message:  No notes\n    location: {src}/a.ts (1:4-1:8)"
+    assert api.run(spark, [str(src)], config_file=str(conf)).text().orderBy("num").first().text == "1 | 2 (High) | regex:NoTodos | a.ts:1:4 | No notes"
+    logged = tmp_path / "logs"
+    logged.mkdir()
+    with_log = tmp_path / "with.json"
+    with_log.write_text(json.dumps({"log_folder": str(logged)}))
+    got = api.run(spark, [str(src)], config_file=str(with_log), registry=REGISTRY)
+    assert got.before == ["Log goes to:", f"    {got.log}"] and os.path.exists(got.log)
+    out = tmp_path / "c.yml"
+    text = api.config(spark, registry=REGISTRY, output_file=str(out), view=shown.append)
+    assert shown == [] and out.read_text() == text
+    api.config(spark, registry=REGISTRY, output_file=str(out), overwrite=lambda p: False, view=shown.append)
+    api.config(spark, registry=REGISTRY, view=shown.append)
+    assert shown == [text, text]

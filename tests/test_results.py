@@ -97,3 +97,9 @@ def test_numbers_of_many_rows_at_one_place(spark, rules, n):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
     assert got.columns == [*v.columns, "num"]
+
+
+def test_properties_of_several_lines(spark):
+    pair = lambda k, v=None, vs=None: F.struct(F.lit(k).alias("key"), F.lit(v).cast("string").alias("value"), (F.array(*map(F.lit, vs)) if vs else F.lit(None)).cast("array<string>").alias("values"))
+    text = spark.range(1).select(fn.properties(F.array(pair("k", "one\ntwo"), pair("longer"), pair("many", None, ["a", "b\nc"]))).alias("x")).first().x
+    assert text == "k:      one\n        two\nlonger:\nmany:\n    a\n    b\n    c"
