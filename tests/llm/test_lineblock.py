@@ -65,3 +65,38 @@ def test_quotes_and_names_in_attributes():
         assert lineblock.main_text(f"<article><p>{LONG}</p>{open_}x</p></article>") == LONG, open_
     assert lineblock.main_text(f"<p>{LONG}</p><svg a='/>' b=\"c\"/><p>in</p>") == f"{LONG}\n\nin"
     assert lineblock.main_text("<svg " + "a='b' " * 20_000) == lineblock.main_text("<p " + 'a="b' * 20_000) == ""
+
+
+COMMENT = f'<li class="comment"><article class="comment-body"><p>{LONG} I say.</p></article></li>'
+
+
+def test_comment_sections_that_hold_articles_are_left_out():
+    for open_, close in (('<div id="comments">', "</div>"), ('<section class="comments-area">', "</section>"), ("<section><h2>3 Comments</h2>", "</section>"), ("<div><h3>Leave a Reply</h3>", "</div>")):
+        for tag in ("article", "main", "div"):
+            page = f"<body><{tag}><h1>Title</h1><p>{LONG}</p><p>End.</p></{tag}>{open_}<ol>{COMMENT * 4}</ol>{close}<footer>F</footer>"
+            assert lineblock.main_text(page) == f"Title\n\n{LONG}\n\nEnd.", (open_, tag)
+    page = f'<div class="comments-open"><article><p>{LONG}</p></article></div><div class="comments"><article><p>{LONG}</p></article></div>'
+    assert lineblock.main_text(page) == LONG
+    assert lineblock.main_text(f"<article><h2>Comments</h2><p>{LONG}</p></article>") == f"Comments\n\n{LONG}"
+
+
+def test_teasers_beside_the_article_are_left_out():
+    page = f'<main><article><p>{LONG}</p><p>{LONG}</p></article><section class="related"><article><p>{LONG}</p></article></section></main>'
+    assert lineblock.main_text(page) == f"{LONG}\n\n{LONG}"
+
+
+def test_names_of_running_text_in_an_article_decide_nothing():
+    for element in ('<p class="related">{}</p>', '<figcaption class="social">{}</figcaption>', '<h2 class="tag-line">{}</h2>', '<h3 id="notice">{}</h3>', '<aside class="pullquote">{}</aside>', "<aside><blockquote>{}</blockquote></aside>"):
+        page = f"<article><p>{LONG}</p>{element.format('Said so.')}<p>{LONG}</p></article>"
+        assert lineblock.main_text(page) == f"{LONG}\n\nSaid so.\n\n{LONG}", element
+    for element in ('<p class="advert">{}</p>', '<div class="share">{}</div>', "<aside>{}</aside>", "<form>{}</form>", '<div class="related">{}</div>', '<aside class="related"><blockquote>{}</blockquote></aside>'):
+        assert lineblock.main_text(f"<article><p>{LONG}</p>{element.format('Said so.')}<p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}", element
+
+
+def test_articles_of_links_and_paragraphs_in_blocks_of_their_own():
+    assert lineblock.main_text('<nav><a href="/">N</a></nav><article><p><a href="/a">One</a></p><p><a href="/b">Two</a></p></article>') == "One\n\nTwo"
+    ad = '<div class="ad">Buy</div>'
+    for wrap in ("<div>{}</div>", "<td>{}</td>"):
+        page = wrap.format(f"<div><p>{LONG}</p></div><div><p>{LONG}</p></div>{ad}<div><p>Es be.</p></div>{ad}")
+        assert lineblock.main_text(f"<body>{page}<footer>F</footer>") == f"{LONG}\n\n{LONG}\n\nEs be."
+    assert lineblock.main_text(f"<body><div>Tagline</div>{ad * 3}<div><p>{LONG}</p></div>{ad}<div>Es be.</div>{ad}<div>{LONG}</div>") == f"{LONG}\n\nEs be.\n\n{LONG}"
