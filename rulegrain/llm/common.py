@@ -22,6 +22,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as the session or its context has it; a default of our own only where none is set, in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None)

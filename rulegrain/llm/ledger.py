@@ -19,7 +19,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.llm.common import WHITE, words
+from rulegrain.llm.common import WHITE, unused, words
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")
@@ -97,15 +97,16 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     without = lambda pattern: F.length(body) - F.length(F.regexp_replace(body, pattern, ""))
     counts = _once(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("repeats")))
-    out = docs.withColumns({"__counts": counts, "__lines": lines})
+    held, split = unused(docs.columns, "counts_", "lines_")
+    out = docs.withColumns({held: counts, split: lines})
     return out.withColumns({
-        "n_words": F.col("__counts.n").cast("long"),
+        "n_words": F.col(f"{held}.n").cast("long"),
         "word_chars": F.length(F.regexp_replace(body, WHITE, "")).cast("long"),
         "n_symbols": without(r"[#*$%&|<>]").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": F.col("__counts.repeats").cast("long"),
+        "n_dup_lines": (F.size(split) - F.size(F.array_distinct(split))).cast("long"),
+        "n_repeat_words": F.col(f"{held}.repeats").cast("long"),
         "n_upper": without("[A-Z]+").cast("long"),
-    }).drop("__counts", "__lines")
+    }).drop(held, split)
 
 
 def fail_bits(rules: tuple[Rule, ...] = RULES) -> Column:

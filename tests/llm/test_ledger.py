@@ -61,3 +61,8 @@ def test_empty_table_and_clashing_columns(spark):
 def test_native(spark):
     plan = queries.op3_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_columns_named_like_helpers_pass_through(spark):
+    r = ledger.ledger(spark.createDataFrame([(1, "a b", 5, 6, 7, 8)], "doc_id long, text string, __counts int, __lines int, counts_ int, lines_ int")).first()
+    assert (r["__counts"], r["__lines"], r["counts_"], r["lines_"], r.n_words) == (5, 6, 7, 8, 2)
