@@ -37,23 +37,34 @@ def test_run_matches_brute_force(spark):
     tokens = Counter()
     for d in docs:
         tokens[keys[d.doc_id]] += len(d.text.encode().split())
+    everything = sum(tokens.values())
+    room = {c: n / (raking.BUDGET * everything) for c, n in tokens.items()}
     share = []
     for k in range(3):
-        s = Counter()
+        s, most = Counter(), Counter()
         for cell, n in tokens.items():
             s[cell[k]] += n
+            most[cell[k]] += room[cell]
         s = {v: n**raking.ALPHA for v, n in s.items()}
-        share.append({v: x / sum(s.values()) for v, x in s.items()})
-    w = {c: float(n) for c, n in tokens.items()}
-    for _ in range(raking.PASSES):
-        for k in range(3):
-            total = Counter()
-            for c, x in w.items():
-                total[c[k]] += x
-            w = {c: x * share[k][c[k]] / total[c[k]] for c, x in w.items()}
-    everything = sum(tokens.values())
+        full = set()
+        while True:  # values that have less than their share of what is left get all they have
+            rest = (1 - sum(most[v] for v in full)) / sum(x for v, x in s.items() if v not in full)
+            more = {v for v in s if v not in full and most[v] <= s[v] * rest}
+            if not more:
+                break
+            full |= more
+        share.append({v: most[v] if v in full else x * rest for v, x in s.items()})
+    w = {c: n / everything for c, n in tokens.items()}
+    sums = lambda k: {v: sum(x for c, x in w.items() if c[k] == v) for v in share[k]}
+    while True:
+        for _ in range(raking.PASSES):
+            for k in range(3):
+                total = sums(k)
+                w = {c: min(room[c], x * share[k][c[k]] / total[c[k]]) for c, x in w.items()}
+        if max(abs(n - share[k][v]) for k in range(3) for v, n in sums(k).items()) < raking.TOLERANCE:
+            break
     u = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32
-    want = [d for d in docs if u(d.doc_id) < min(1, raking.BUDGET * everything * w[keys[d.doc_id]] / tokens[keys[d.doc_id]])]
+    want = [d for d in docs if u(d.doc_id) < min(1, w[keys[d.doc_id]] / room[keys[d.doc_id]])]
     theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {d.doc_id: theirs.encode(d.text, add_special_tokens=False).ids for d in want}
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, SF).collect()}
