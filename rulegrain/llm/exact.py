@@ -1,20 +1,20 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
 Keys are 64-bit hashes of the normalised text. A directory maps the leading
-bits of a key to a bucket; a bucket with more keys than its capacity splits
-and, where its depth is the directory's, the directory doubles. Entries go to
-the task that owns their bucket's key range; owners read their entries in key
-order, chain texts whose keys collide and compare bytes. The index (one row for
-each distinct text) is written to the shared folder.
+bits of a key to a bucket; a bucket with more bytes of text than its capacity
+splits and, where its depth is the directory's, the directory doubles. Entries
+go to the task that owns their bucket's key range; owners read their entries in
+key order, chain texts whose keys collide and compare bytes. The directory and
+the index (one row for each distinct text) are written to the shared folder.
 
 Copies are merged inside each map task first, so a group of copies sends one
-row from each task. What a document's group is, it learns from a join with the
-index, where Spark splits a hot key's rows.
+row from each task. A document finds its bucket in the directory and its group
+among the bucket's rows, by a join where Spark splits a hot key's rows.
 
 Defined results: null text is the empty text; all empty texts are one group;
 repeated rows (same id and text) count each and keep the same id; a null id
 stays only where its group has no other; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored. Ids are of any type that has an order.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.llm.common import WHITE, dropped, written
+from rulegrain.llm.common import WHITE, written
 
-ENTRY = "bucket int, h long, norm string, keep_id long, n long"
-INDEX = "bucket int, h long, chain int, text_sha256 string, keep_id long, group_size long"
-MAX_DEPTH = 16
+ENTRY = "bucket int, h long, norm string, keep_id {id}, n long"
+INDEX = "bucket int, h long, chain int, text_sha256 string, keep_id {id}, group_size long"
+CAPACITY = 128 << 20  # bytes of distinct texts in a bucket
+ROW_BYTES = 100  # that a row takes beside its text
+BROADCAST_SLOTS = 1 << 20
 HELD_BYTES = 32 << 20
 
 
@@ -37,7 +39,7 @@ def normalised(text: Column) -> Column:
 
 
 def build_directory(slots: dict[int, int], fine: int, capacity: int) -> list[int]:
-    """slots: keys for each value of the `fine` leading bits. Returns the bucket of each
+    """slots: bytes for each value of the `fine` leading bits. Returns the bucket of each
     directory entry; the list has 2 ** depth entries."""
     depth, buckets, done = 0, [(0, 0)], []
     sums = {fine: slots}
@@ -61,13 +63,27 @@ def build_directory(slots: dict[int, int], fine: int, capacity: int) -> list[int
 
 
 def directory_of(keys: DataFrame, capacity: int) -> list[int]:
-    """The directory for a table with key column h. What is collected is one count for each
-    slot: 4 for each bucket at most 2 ** MAX_DEPTH of them; beyond that, buckets hold more."""
-    distinct = keys.select("h").distinct()
-    total = keys.count()
-    fine = min(MAX_DEPTH, max(1, (total // max(1, capacity)).bit_length() + 2))
-    counts = distinct.groupBy(F.shiftrightunsigned("h", 64 - fine).alias("slot")).agg(F.count("*").alias("n"))
-    return build_directory({r.slot: r.n for r in counts.collect()}, fine, capacity)
+    """The directory for a table with columns h, text_sha256, size. What is collected is the
+    bytes of each slot, of which there are 8 at most for each bucket's worth of bytes."""
+    distinct = written(keys.groupBy("h", "text_sha256").agg((F.max("size") + ROW_BYTES).alias("size")), "exact-sizes")
+    total = distinct.agg(F.sum("size").alias("n")).first().n or 0
+    fine = (total // max(1, capacity)).bit_length() + 2
+    sums = distinct.groupBy(F.shiftrightunsigned("h", 64 - fine).alias("slot")).agg(F.sum("size").alias("n"))
+    return build_directory({r.slot: r.n for r in sums.collect()}, fine, capacity)
+
+
+def depth_of(directory: list[int]) -> int:
+    return (len(directory) - 1).bit_length()
+
+
+def slot_of(h: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def stored_directory(directory: list[int], keys: DataFrame) -> DataFrame:
+    """The directory as a table (slot, bucket) in the shared folder."""
+    rows = list(enumerate(directory))
+    return written(keys.sparkSession.createDataFrame(rows, "slot long, bucket int"), "exact-directory")
 
 
 def _least(a: int | None, b: int | None) -> int | None:
@@ -76,20 +92,21 @@ def _least(a: int | None, b: int | None) -> int | None:
 
 def _combine(directory: list[int]):
     """Merge a task's copies: one entry for each distinct text held, flushed by size."""
-    depth = (len(directory) - 1).bit_length()
+    depth = depth_of(directory)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held: dict[str, list] = {}
-        size = 0
+        size, id_type = 0, None
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*((directory[(h & (1 << 64) - 1) >> (64 - depth)] if depth else 0, h, t, i, n) for t, (h, i, n) in held.items()), strict=True))
-            types = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            types = (pa.int32(), pa.int64(), pa.string(), id_type, pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["bucket", "h", "norm", "keep_id", "n"])
 
         for batch in batches:
+            id_type = batch.column("id").type
             for i, h, t in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("norm").to_pylist(), strict=True):
                 if (e := held.get(t)) is None:
                     held[t] = [h, i, 1]
@@ -112,7 +129,7 @@ def _own(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     names = ["bucket", "h", "chain", "text_sha256", "keep_id", "group_size"]
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+    id_type = None
     at, chain, out = None, [], []
 
     def close() -> None:
@@ -125,9 +142,11 @@ def _own(batches: Iterator) -> Iterator:
             out.append((*at, place, sha, keep, n))
 
     def rows() -> pa.RecordBatch:
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.string(), id_type, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
 
     for batch in batches:
+        id_type = batch.column("keep_id").type
         for b, h, t, i, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "norm", "keep_id", "n")), strict=True):
             if at != (b, h):
                 close()
@@ -146,20 +165,24 @@ def _own(batches: Iterator) -> Iterator:
         yield rows()
 
 
-def build_index(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = 10_000, key=F.xxhash64) -> DataFrame:
-    """The index over docs, written to the shared folder. keys: their keys, column h."""
-    directory = directory_of(keys, capacity)
+def build_index(docs: DataFrame, directory: list[int], id_col: str = "doc_id", text: str = "text", key=F.xxhash64) -> DataFrame:
+    """The index over docs, written to the shared folder."""
+    kind = docs.schema[id_col].dataType.simpleString()
     norm = normalised(F.col(text))
-    entries = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", key(F.col("norm"))).mapInArrow(_combine(directory), ENTRY)
+    entries = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", key(F.col("norm"))).mapInArrow(_combine(directory), ENTRY.format(id=kind))
     owned = entries.repartition("bucket").sortWithinPartitions("bucket", "h")
-    return written(owned.mapInArrow(_own, INDEX), "exact-index")
+    return written(owned.mapInArrow(_own, INDEX.format(id=kind)), "exact-index")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = 10_000, key=F.xxhash64) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, key=F.xxhash64) -> DataFrame:
     """One row for each document: id, keep_id, group_size, kept, text_sha256."""
     norm = normalised(F.col(text))
-    keys = docs.select(F.col(id_col).alias(id_col), norm.alias("norm")).select(id_col, key(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256"))
+    keys = docs.select(F.col(id_col), norm.alias("norm")).select(id_col, key(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").cast("long").alias("size"))
     keys = written(keys, "exact-keys")
-    index = build_index(docs, keys, id_col, text, capacity, key)
-    found = keys.join(index.select("h", "text_sha256", "keep_id", "group_size"), ["h", "text_sha256"])
+    directory = directory_of(keys, capacity)
+    index = build_index(docs, directory, id_col, text, key)
+    slots = stored_directory(directory, keys)
+    slots = F.broadcast(slots) if len(directory) <= BROADCAST_SLOTS else slots
+    placed = keys.withColumn("slot", slot_of(F.col("h"), depth_of(directory))).join(slots, "slot")
+    found = placed.join(index.select("bucket", "h", "text_sha256", "keep_id", "group_size"), ["bucket", "h", "text_sha256"])
     return found.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

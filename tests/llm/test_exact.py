@@ -54,3 +54,23 @@ def test_null_ids(spark):
     got = sorted((r.text_sha256, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(docs).collect())
     sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in "ab"}
     assert got == sorted([(sha["a"], 0, None, 2, True)] * 2 + [(sha["b"], 0, 3, 3, False), (sha["b"], 3, 3, 3, True), (sha["b"], 7, 3, 3, False)], key=lambda r: r[:2])
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "x y"), ("a", "x  y"), (None, "z"), ("c", None)]
+    for kind, ids in (("string", {}), ("int", {"a": 1, "b": 2, "c": 3})):
+        df = spark.createDataFrame([(ids.get(i, i), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(df).collect()}
+        a, b, c = (ids.get(i, i) for i in "abc")
+        assert got == {a: (a, 2, True), b: (a, 2, False), None: (None, 1, True), c: (c, 1, True)}
+
+
+def test_buckets_split_by_bytes(spark):
+    df = spark.createDataFrame([(i, f"{i} " * 200) for i in range(400)], "doc_id long, text string")
+    norm = exact.normalised(F.col("text"))
+    keys = df.select(F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256"), F.octet_length(norm).cast("long").alias("size"))
+    directory = exact.directory_of(keys, 20_000)
+    held = keys.withColumn("slot", exact.slot_of(F.col("h"), exact.depth_of(directory))).join(exact.stored_directory(directory, keys), "slot")
+    sizes = [r.n for r in held.groupBy("bucket").agg(F.sum(F.col("size") + exact.ROW_BYTES).alias("n")).collect()]
+    assert len(sizes) > 16 and max(sizes) <= 20_000
+    assert exact.exact_groups(df, capacity=20_000).where("kept").count() == 400
