@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
 
 
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in shares of `rows` rows, so that what Python makes of a share's texts stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, with as many underscores before them as it takes to be none of the columns."""
     taken = {c.lower() for c in columns}

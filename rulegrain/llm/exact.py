@@ -24,11 +24,11 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.llm.common import WHITE, written
+from rulegrain.llm.common import WHITE, slices, written
 
 ENTRY = "bucket int, h long, norm string, keep_id {id}, n long"
 INDEX = "bucket int, h long, chain int, text_sha256 string, keep_id {id}, group_size long"
-CAPACITY = 128 << 20  # bytes of distinct texts in a bucket
+CAPACITY = 32 << 20  # bytes of distinct texts in a bucket
 ROW_BYTES = 100  # that a row takes beside its text
 BROADCAST_SLOTS = 1 << 20
 HELD_BYTES = 32 << 20
@@ -105,7 +105,7 @@ def _combine(directory: list[int]):
             types = (pa.int32(), pa.int64(), pa.string(), id_type, pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["bucket", "h", "norm", "keep_id", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.column("id").type
             for i, h, t in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("norm").to_pylist(), strict=True):
                 if (e := held.get(t)) is None:
@@ -145,7 +145,7 @@ def _own(batches: Iterator) -> Iterator:
         types = (pa.int32(), pa.int64(), pa.int32(), pa.string(), id_type, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    for batch in batches:
+    for batch in slices(batches):
         id_type = batch.column("keep_id").type
         for b, h, t, i, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "norm", "keep_id", "n")), strict=True):
             if at != (b, h):

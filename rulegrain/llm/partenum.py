@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.llm.common import written
+from rulegrain.llm.common import slices, written
 from rulegrain.llm.components import components
 
 BLOCK = 2_000  # members whose sketches are compared at once
@@ -169,7 +169,7 @@ def described(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text
 
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
             keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             part = lambda a, b: pa.array([k and int.from_bytes(k[a:b], "little", signed=True) for k in keys], pa.int64())
@@ -191,7 +191,7 @@ def signed(texts: DataFrame, n: int, p: int, q: int, seed: int = 0, clashing: fr
         import pyarrow as pa
 
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             sigs, nodes = [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, n)
