@@ -151,7 +151,8 @@ def _candidates(rules: list[tuple[list[str] | None, tuple[str, ...]]]):
 
         for batch in batches:
             rows, size = [], 0
-            for file, ext, content, everywhere in zip(*(batch.column(c).to_pylist() for c in ("file", "ext", "content", "everywhere")), strict=True):
+            columns = (batch.column(c) for c in ("file", "ext", "content", "everywhere"))
+            for file, ext, content, everywhere in ([x.as_py() for x in row] for row in zip(*columns, strict=True)):  # one content at a time
                 for k, at, line in index.candidates(content or "", ext or "", everywhere or []):
                     rows.append((k, file, at, line))
                     size += len(line) + 50

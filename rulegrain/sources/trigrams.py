@@ -66,7 +66,7 @@ def _grams_of_files(bitmap: bytes, counted: bool):
 
         wanted = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
         for batch in batches:
-            each = [np.append(grams(c or ""), EVERY) for c in batch.column("content").to_pylist()]
+            each = (np.append(grams(c.as_py() or ""), EVERY) for c in batch.column("content"))  # one content at a time
             each = [g[wanted[g]] for g in each]
             flat = np.concatenate(each).astype(np.int32) if each else np.zeros(0, np.int32)
             if counted:

@@ -108,3 +108,21 @@ def test_begins_are_summed():
 
     got = begins.func(pd.Series([np.array([3, 4]), np.array([1, 0, 2])]), pd.Series([np.array([1, 2]), np.array([0, 1])]))
     assert [x.tolist() for x in got] == [[2, 5], [1, 3]]
+
+
+def test_candidates_hold_one_content_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from rulegrain.sources.engines import _candidates
+
+    n = 2_000
+    batch = pa.RecordBatch.from_arrays([pa.array([f"/w/{k}.txt" for k in range(n)]), pa.array(["txt"] * n), pa.array(["ab " * 5_000 + "\nfoo"] * n), pa.array([None] * n, pa.list_(pa.int32()))], ["file", "ext", "content", "everywhere"])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in _candidates([(["foo"], ())])(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == n and peak < 10_000_000  # all contents at once are 30 MB
