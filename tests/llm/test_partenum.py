@@ -102,6 +102,23 @@ def test_open_buckets_are_resolved(spark, monkeypatch):
     assert got(partenum.near_groups(df, 4, 85, 100)) == brute(rows, 4, 85, 100)
 
 
+def test_buckets_with_the_same_members_are_looked_at_once(spark, monkeypatch):
+    """And again only where a member has more pairs than it asked for."""
+    monkeypatch.setattr(partenum, "FIRST_ASKED", 1)
+    monkeypatch.setattr(partenum, "ASKED_GROWTH", 4)
+    plain, crossing, seen = partenum.signatures, partenum._crossing, []
+    monkeypatch.setattr(partenum, "signatures", lambda s, p, q, seed=0: np.append(plain(s, p, q, seed), [*range(8), 100 + len(s) // 60]))
+
+    def counted(rows, *more):
+        seen.append(rows.count())
+        return crossing(rows, *more)
+
+    monkeypatch.setattr(partenum, "_crossing", counted)
+    rows = variants(3, 40)
+    assert got(partenum.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)) == brute(rows, 4, 85, 100)
+    assert seen[0] < 4 * len(rows) and all(n <= seen[0] for n in seen)  # eight times each set and more, otherwise
+
+
 def test_empty_table(spark):
     assert partenum.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
