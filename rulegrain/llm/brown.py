@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulegrain.llm.common import dropped, written
+from rulegrain.llm.common import dropped, slices, written
 
 HEAD, COMMON, MAX_BYTES = 32_768, 200_000, 64
 CLASSES = 48
@@ -46,7 +46,7 @@ ROUNDS = 8
 BLOCK = 256
 MIX = 0.02
 MU = 5.0
-HELD = 300_000
+HELD = 150_000  # counts that a task holds before it hands them on
 TEXTS = 500  # coded texts that are counted at once
 END = b""
 
@@ -64,7 +64,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         seen: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column("text").to_pylist():
                 seen.update(tokens(t))
                 seen[END] += 1
@@ -91,7 +91,7 @@ def coded(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
         import pyarrow as pa
 
         places, other = shared.value, len(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([np.fromiter((places.get(w, other) for w in tokens(t)), "<u2").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["ids"])
 
     return texts.mapInArrow(run, "ids binary")
@@ -278,7 +278,7 @@ def placed(texts: DataFrame, head: dict[bytes, int], classes, m) -> DataFrame:
         known = dict(zip(places, of.tolist(), strict=True))
         seen: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["word", "pair", "n"])
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column("text").to_pylist():
                 w = tokens(t)
                 c = [STOP, *(known.get(x, TAIL) for x in w), STOP]
@@ -336,7 +336,7 @@ def followed(texts: DataFrame, vocabulary: DataFrame):
         kinds = pa.binary(), pa.int32(), pa.int64()
         batch_of = lambda *c: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["word", "pair", "n"])
         out = lambda: batch_of([w for w, _ in rare], [c * WIDTH for _, c in rare], list(rare.values()))
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column("text").to_pylist():
                 context, pairs = STOP, []
                 for w in tokens(t):
@@ -437,7 +437,7 @@ def scored(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "
         other, stop_at = len(places), len(places) + 1
         base = np.log10(raw)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             docs_out, rare = [], []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 row += 1

@@ -132,3 +132,28 @@ def test_scores_match_brute_force(spark, monkeypatch):
         want = sum(math.log10(p(c, w)) for c, w in walk(held[r.doc_id]))
         assert abs(r.score - want) < 1e-9 * max(1, -want)
     assert len(got) == len(held)
+
+
+def test_words_are_counted_in_shares_of_a_batch(spark, monkeypatch):
+    """What Python makes of texts is a share's, not a whole Arrow batch's."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, kind):
+            self.run = run
+            return self
+
+        groupBy = agg = lambda self, *a: self
+
+    frame = Frame()
+    brown.word_counts(frame)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 5_000 + " " + "b" * 5_000] * 4_000)], ["text"])
+    tracemalloc.start()
+    try:
+        counts = {w: n for b in frame.run(iter([batch])) for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True)}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counts == {b"a" * 5_000: 4_000, b"b" * 5_000: 4_000, b"": 4_000} and peak < 15_000_000  # all texts at once are 40 MB
