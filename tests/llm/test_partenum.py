@@ -179,3 +179,23 @@ def test_sets_with_one_key_are_told_apart(spark, monkeypatch):
     rows = variants(11, 20)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(partenum.near_groups(df, 4, 85, 100)) == brute(rows, 4, 85, 100)
+
+
+def test_blocks_are_compared_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (40, 256), dtype=np.uint8)
+    block = lambda seed: (np.arange(partenum.BLOCK) + seed, np.full(partenum.BLOCK, 250), base[np.arange(partenum.BLOCK) % 40])
+    x, y = block(0), block(1)
+    tracemalloc.start()
+    i, j, more = partenum._asked(x, y, 8, 10, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 79 MB where a whole block is compared at once
+    assert more and (np.bincount(i, minlength=partenum.BLOCK) == 3).all()
+    want = [k for k in range(partenum.BLOCK) if k % 40 == 7 and k + 1 != 7][:3]
+    assert j[i == 7].tolist() == want
+    some = x[0][:250], x[1][:250], x[2][:250]
+    i, j, more = partenum._asked(some, some, 8, 10, 1000)
+    assert not more and set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(250) for b in range(250) if a != b and a % 40 == b % 40}
