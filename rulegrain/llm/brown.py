@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ MIX = 0.02
 MU = 5.0
 HELD = 150_000  # counts that a task holds before it hands them on
 TEXTS = 500  # coded texts that are counted at once
+WORDS = 100_000  # words that are looked up at once
 END = b""
 
 
@@ -56,6 +58,36 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def shares(texts: list[str | None]) -> Iterator:
+    """(place of the first, words, tokens of each) of neighbouring texts, about WORDS words together; an end follows each text's words."""
+    first, words, many = 0, [], []
+    for k, t in enumerate(texts):
+        before = len(words)
+        words += tokens(t)
+        words.append(END)
+        many.append(len(words) - before)
+        if len(words) >= WORDS:
+            yield first, words, many
+            first, words, many = k + 1, [], []
+    if many:
+        yield first, words, many
+
+
+def found(places: dict[bytes, int], words: list[bytes], other: int):
+    """What places has for each word; `other` for those not in it."""
+    import numpy as np
+
+    return np.fromiter(map(places.get, words, repeat(other)), np.int64, len(words))
+
+
+def last_before(c, common):
+    """Of c (one value for each token), the one of the last common token before each; STOP before the first. An end is common."""
+    import numpy as np
+
+    seen = np.where(common, np.arange(1, len(c) + 1), 0)
+    return np.concatenate([[STOP], c])[np.concatenate([[0], np.maximum.accumulate(seen)[:-1]])]
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """texts (text) to (word, n); the end is the empty word."""
 
@@ -92,7 +124,7 @@ def coded(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
 
         places, other = shared.value, len(shared.value)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([np.fromiter((places.get(w, other) for w in tokens(t)), "<u2").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([found(places, tokens(t), other).astype("<u2").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["ids"])
 
     return texts.mapInArrow(run, "ids binary")
 
@@ -120,13 +152,12 @@ def neighbour_counts(ids: DataFrame, classes) -> DataFrame:
             for s in range(0, batch.num_rows, TEXTS):
                 parts = [stop]
                 for i in batch.column("ids").slice(s, TEXTS):
-                    parts += [np.frombuffer(i.as_py(), "<u2").astype(np.int32), stop]
+                    parts += [np.frombuffer(i.as_py(), "<u2"), stop]
                 w = np.concatenate(parts)
                 c = of[w]
                 at = np.flatnonzero(w < many)
                 cell = np.concatenate([2 * w[at] * WIDTH + c[at - 1], (2 * w[at] + 1) * WIDTH + c[at + 1]])
-                cell, n = np.unique(cell, return_counts=True)
-                counts[cell] += n
+                np.add.at(counts, cell, 1)
         (at,) = np.nonzero(counts)
         cuts = np.searchsorted(at, np.arange(0, len(counts) + 1, cells))
         for b in range(len(cuts) - 1):
@@ -275,14 +306,14 @@ def placed(texts: DataFrame, head: dict[bytes, int], classes, m) -> DataFrame:
         import pyarrow as pa
 
         places, of, _ = shared.value
-        known = dict(zip(places, of.tolist(), strict=True))
+        known = dict(zip(places, of.tolist(), strict=True)) | {END: STOP}
         seen: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["word", "pair", "n"])
         for batch in slices(batches):
-            for t in batch.column("text").to_pylist():
-                w = tokens(t)
-                c = [STOP, *(known.get(x, TAIL) for x in w), STOP]
-                seen.update((x, c[k] * WIDTH + c[k + 2]) for k, x in enumerate(w) if c[k + 1] == TAIL)
+            for _, w, _ in shares(batch.column("text").to_pylist()):
+                c = np.concatenate([[STOP], found(known, w, TAIL), [STOP]])
+                (at,) = np.nonzero(c[1:-1] == TAIL)
+                seen.update(zip((w[k] for k in at.tolist()), (c[at] * WIDTH + c[at + 2]).tolist(), strict=True))
                 if len(seen) > HELD:
                     yield out()
                     seen.clear()
@@ -326,7 +357,7 @@ def followed(texts: DataFrame, vocabulary: DataFrame):
     """Counts of each word's class by its context, the class of the last common word before it, over all tokens."""
     import numpy as np
 
-    shared = texts.sparkSession.sparkContext.broadcast({bytes(r.word): r["class"] for r in top_words(vocabulary, COMMON)})
+    shared = texts.sparkSession.sparkContext.broadcast({bytes(r.word): r["class"] for r in top_words(vocabulary, COMMON)} | {END: STOP})
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -337,17 +368,12 @@ def followed(texts: DataFrame, vocabulary: DataFrame):
         batch_of = lambda *c: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["word", "pair", "n"])
         out = lambda: batch_of([w for w, _ in rare], [c * WIDTH for _, c in rare], list(rare.values()))
         for batch in slices(batches):
-            for t in batch.column("text").to_pylist():
-                context, pairs = STOP, []
-                for w in tokens(t):
-                    c = of.get(w)
-                    if c is None:
-                        rare[w, context] += 1
-                    else:
-                        pairs.append(context * WIDTH + c)
-                        context = c
-                pairs.append(context * WIDTH + STOP)
-                sums += np.bincount(pairs, minlength=WIDTH * WIDTH)
+            for _, w, _ in shares(batch.column("text").to_pylist()):
+                c = found(of, w, -1)
+                context = last_before(c, c >= 0)
+                sums += np.bincount((context * WIDTH + c)[c >= 0], minlength=WIDTH * WIDTH)
+                (at,) = np.nonzero(c < 0)
+                rare.update(zip((w[k] for k in at.tolist()), context[at].tolist(), strict=True))
                 if len(rare) > HELD:
                     yield out()
                     rare.clear()
@@ -426,7 +452,7 @@ def scored(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "
 
     ends = stop.n if stop else 0
     n, c = np.array([*(r.n for r in common), 0, ends], float), np.array([*(r["class"] for r in common), TAIL, STOP], np.int64)
-    shared = spark.sparkContext.broadcast(({bytes(r.word): k for k, r in enumerate(common)}, c, model.base(n), model.emission(n, c), model.step, ends))
+    shared = spark.sparkContext.broadcast(({bytes(r.word): k for k, r in enumerate(common)} | {END: len(common) + 1}, c, model.base(n), model.emission(n, c), model.step, ends))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -434,35 +460,32 @@ def scored(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "
         from pyspark import TaskContext
 
         places, c, raw, fits, step, ends = shared.value
-        other, stop_at = len(places), len(places) + 1
+        other = len(c) - 2
         base = np.log10(raw)
         row = TaskContext.get().partitionId() << 40
+        names = ["id", "row", "word", "context", "many", "n_tokens", "n_known", "base_score", "score"]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in slices(batches):
-            docs_out, rare = [], []
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                row += 1
-                w = tokens(t)
-                at = np.fromiter((places.get(x, other) for x in w), np.int64, len(w))
-                at = np.append(at, stop_at)
-                seen = np.where(at == other, 0, np.arange(1, len(at) + 1))
-                last = np.concatenate([[0], np.maximum.accumulate(seen)[:-1]])  # 1 + place of the last common word before
-                context = np.where(last == 0, STOP, c[at[last - 1]])
-                if ends == 0:  # nothing was learnt
-                    known = at[:0]
-                    rare += [(i, row, x, STOP, k) for x, k in Counter(w).items()]
-                    docs_out.append((i, row, len(at), 0, base[stop_at], base[stop_at]))
-                    continue
-                known = np.flatnonzero(at != other)
-                p = (1 - MIX) * step[context[known], c[at[known]]] * fits[at[known]] + MIX * raw[at[known]]
-                docs_out.append((i, row, len(at), len(known), float(base[at[known]].sum()), float(np.log10(p).sum())))
-                rare += [(i, row, x, k, many) for (x, k), many in Counter((w[j], int(context[j])) for j in np.flatnonzero(at == other).tolist()).items()]
-            a, b = len(docs_out), len(rare)
-            d = list(zip(*docs_out, strict=True)) or [()] * 6
-            r = list(zip(*rare, strict=True)) or [()] * 5
-            pad = lambda k, size: (None,) * size
-            cols = [(*d[0], *r[0]), (*d[1], *r[1]), pad(0, a) + tuple(r[2]), pad(0, a) + tuple(r[3]), pad(0, a) + tuple(r[4]), *(tuple(x) + pad(0, b) for x in d[2:])]
-            kinds = (batch.schema.field("id").type, pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["id", "row", "word", "context", "many", "n_tokens", "n_known", "base_score", "score"])
+            for first, words, many in shares(batch.column("text").to_pylist()):
+                ids, rows = batch.column("id").slice(first, len(many)), row + np.arange(len(many))
+                row += len(many)
+                doc = np.repeat(np.arange(len(many)), many)
+                at = found(places, words, other)
+                context = last_before(c[at], at != other)
+                (known,) = np.nonzero(at != other)
+                of = at[known]
+                p = (1 - MIX) * step[context[known], c[of]] * fits[of] + MIX * raw[of] if ends else raw[of]  # without ends nothing was learnt
+                sums = [np.bincount(doc[known], x, len(many)) for x in (base[of], np.log10(p))]
+                n_known = np.bincount(doc[known], minlength=len(many)) if ends else np.zeros(len(many), np.int64)
+                whole = [pa.array(rows), *(pa.nulls(len(many), k) for k in kinds[1:4]), pa.array(np.array(many, np.int64)), pa.array(n_known), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays([ids, *whole], names)
+                (at,) = np.nonzero(at == other)
+                if len(at):
+                    rare = Counter(zip(doc[at].tolist(), (words[k] for k in at.tolist()), context[at].tolist(), strict=True))
+                    d, w, k = zip(*rare, strict=True)
+                    mine = np.array(d, np.int64)
+                    cells = [pa.array(rows[mine]), pa.array(w, pa.binary()), pa.array(k, pa.int32()), pa.array(list(rare.values()), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine)), *cells, *(pa.nulls(len(mine), k) for k in kinds[4:])], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = f"id {kind}, row long, word binary, context int, many long, n_tokens long, n_known long, base_score double, score double"

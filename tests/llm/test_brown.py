@@ -157,3 +157,13 @@ def test_words_are_counted_in_shares_of_a_batch(spark, monkeypatch):
     finally:
         tracemalloc.stop()
     assert counts == {b"a" * 5_000: 4_000, b"b" * 5_000: 4_000, b"": 4_000} and peak < 15_000_000  # all texts at once are 40 MB
+
+
+def test_texts_are_looked_up_together(monkeypatch):
+    """Shares of texts hold about WORDS words; contexts don't cross the end of a text."""
+    monkeypatch.setattr(brown, "WORDS", 5)
+    texts = ["a b x", None, "x a", "b", ""]
+    got = list(brown.shares(texts))
+    assert got == [(0, [b"a", b"b", b"x", b"", b""], [4, 1]), (2, [b"x", b"a", b"", b"b", b""], [3, 2]), (4, [b""], [1])]
+    c = brown.found({b"a": 1, b"b": 2, b"": brown.STOP}, got[0][1] + got[1][1], -1)
+    assert brown.last_before(c, c >= 0).tolist() == [brown.STOP, 1, 2, 2, brown.STOP, brown.STOP, brown.STOP, 1, brown.STOP, 2]
